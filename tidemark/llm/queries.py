@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, packing, quality, urlrules, winnow
+from . import bpe, language, mixing, nearcopies, packing, quality, urlrules, winnow
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -40,6 +40,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document under sets of four-word shingles and a similarity of 0.8."""
+    out = nearcopies.groups(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"), narrow=True)
@@ -57,7 +63,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_byte_bpe, op4_winnowing, op6_source_mixing, op7_language_id, op8_url_filters)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_byte_bpe, op4_winnowing, op5_hyperminhash_dedup, op6_source_mixing, op7_language_id, op8_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
