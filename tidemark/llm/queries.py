@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, nearcopies, packing, quality, urlrules, warc, winnow
+from . import bpe, language, lm, mixing, nearcopies, packing, quality, urlrules, warc, winnow
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -62,13 +62,18 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and self-attention scores of every document, learned from those that aren't held out."""
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through their index."""
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_byte_bpe, op4_winnowing, op5_hyperminhash_dedup, op6_source_mixing, op7_language_id, op8_url_filters, op10_warc_index)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_byte_bpe, op4_winnowing, op5_hyperminhash_dedup, op6_source_mixing, op7_language_id, op8_url_filters, op9_lm_scoring, op10_warc_index)}
 
 
 def oracle_sql() -> dict[str, str]:
