@@ -170,10 +170,15 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[
     """
     keep = keep if keep is not None else ["doc_id", stratum]
     rated = staged(add_rules(text_measures(docs, keep=keep)), "quality")
+    return apply_rules(rated, learn_cutoffs(rated, labels, stratum, alpha, delta), stratum)
+
+
+def learn_cutoffs(rated: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """Certified cutoffs from rated documents (doc_id, the stratum's column, measures and rules) and their labels."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("_good"))
-    held = rated.where(~F.col("base_failed")).select("doc_id", stratum, *RULES).dropDuplicates(["doc_id"]).join(marks, "doc_id")
-    cutoffs = certified_cutoffs(rated.where(~F.col("base_failed")), held, stratum, "_good", alpha, delta)
-    return apply_rules(rated, cutoffs, stratum)
+    sound = rated.where(~F.col("base_failed"))
+    held = sound.select("doc_id", stratum, *RULES).dropDuplicates(["doc_id"]).join(marks, "doc_id")
+    return certified_cutoffs(sound, held, stratum, "_good", alpha, delta)
 
 
-__all__ = ["GRID", "RULES", "SPACE_RUN", "add_rules", "apply_rules", "binomial_tail", "certified_cutoffs", "judge", "text_measures"]
+__all__ = ["GRID", "RULES", "SPACE_RUN", "add_rules", "apply_rules", "binomial_tail", "certified_cutoffs", "judge", "learn_cutoffs", "text_measures"]
