@@ -63,29 +63,32 @@ def review(tasks: DataFrame, reviewers: list[Reviewer] = ENSEMBLE, seed: int = 7
     ``tasks`` has task, evidence (and seen_evidence for blind reviewers), sens, mask, and the proposal as p_verdict, p_sens,
     p_mask. A task without a proposal has no review. Slip and revision are drawn apart, by reviewer and task.
     """
-    out = []
-    task = L.label(F.col("sens"), F.col("mask"), 0)
-    proposed = L.label(F.col("p_sens"), F.col("p_mask"), 0)
-    for r in reviewers:
-        rules, ceiling = L.ReleaseRules(r.ruling, r.prohibited), L.label(*r.ceiling, 3)
-        held = F.col("seen_evidence" if r.blind else "evidence") >= r.threshold
-        own = held != (uniform(seed, r.name, F.col("task"), "slip") < r.slip_rate)
-        release = L.declassify(task, r.ruling)
-        judged, corrected = L.admit(proposed, ceiling, rules, r.purpose), L.admit(release, ceiling, rules, r.purpose)
-        on_verdict, on_release = own != F.col("p_verdict"), judged["disposition"] != "release"
-        action = (
-            F.when(~on_verdict & ~on_release, "accept")
-            .when(F.lit(r.escalates) & on_release & (corrected["disposition"] == "approval"), "escalate")
-            .when(uniform(seed, r.name, F.col("task"), "revise") < r.revision_rate, "revise").otherwise("reject")
-        )
-        told = F.lit(r.names_grounds)
-        grounds = F.array_compact(F.array(F.when(told & on_verdict, F.lit("verdict")), F.when(told & on_release, F.lit("release"))))
-        reasons = F.array_compact(F.array(F.when(told & on_release, judged["reason"])))
-        by = lambda accepted, other: F.when(action == "accept", accepted).when(action != "reject", other)  # noqa: E731, B023
-        cells = {"action": action, "grounds": grounds, "reasons": reasons, "corrected_verdict": by(F.col("p_verdict"), own), "corrected_sens": by(F.col("p_sens"), release["sens"]), "corrected_mask": by(F.col("p_mask"), release["mask"])}
-        out.append(F.struct(F.lit(r.name).alias("analyst"), *[c.alias(k) for k, c in cells.items()]))
-    # One pass over the tasks, whatever the number of reviewers.
-    return tasks.where("p_verdict IS NOT NULL").select("task", F.explode(F.array(*out)).alias("x")).select("task", "x.*")
+    # Reviewers are a column of parameters, so one chain of expressions serves them all, in one pass over the tasks.
+    veto = [sum(bit for bit, use in r.prohibited if use == r.purpose) for r in reviewers]
+    rows = [F.struct(F.lit(r.name).alias("analyst"), F.lit(r.threshold).alias("thr"), F.lit(0 in r.ruling.capacities).alias("lowers"), F.lit(r.ruling.floor).alias("floor"), F.lit(r.ruling.drop).alias("drop"), F.lit(r.ceiling[0]).alias("c_sens"), F.lit(r.ceiling[1]).alias("c_mask"), F.lit(float(r.slip_rate)).alias("slip"), F.lit(float(r.revision_rate)).alias("rev"), F.lit(r.names_grounds).alias("told"), F.lit(r.escalates).alias("esc"), F.lit(r.blind).alias("blind"), F.lit(v).alias("veto")) for r, v in zip(reviewers, veto, strict=True)]
+    seen = "seen_evidence" if "seen_evidence" in tasks.columns else "evidence"
+    base = tasks.where("p_verdict IS NOT NULL").select("task", "sens", "mask", "p_verdict", "p_sens", "p_mask", "evidence", F.col(seen).alias("seen_evidence"), F.explode(F.array(*rows)).alias("r")).select("*", "r.*").drop("r")
+    drawn = lambda purpose: uniform(seed, F.col("analyst"), F.col("task"), purpose)
+
+    def disposition(sens: str, mask: str) -> Column:
+        fits = (F.col(sens) <= F.col("c_sens")) & (F.col(mask).bitwiseAND(F.bitwise_not(F.col("c_mask"))) == 0)
+        return F.when(F.col(mask).bitwiseAND(F.col("veto")) != 0, "PURPOSE_PROHIBITED").when(fits, "RELEASABLE").when(F.col(sens) > F.col("c_sens"), "LEVEL_ABOVE_CEILING").otherwise("COMPARTMENT_NOT_HELD")
+
+    one = base.select(
+        "*", (F.when(F.col("blind"), F.col("seen_evidence")).otherwise(F.col("evidence")) >= F.col("thr")).alias("held"), drawn("slip").alias("u1"), drawn("revise").alias("u2"),
+        F.when(F.col("lowers"), F.least("sens", "floor")).otherwise(F.col("sens")).alias("own_sens"), F.when(F.col("lowers") & F.col("drop"), 0).otherwise(F.col("mask")).alias("own_mask"),
+    )
+    two = one.select("*", (F.col("held") != (F.col("u1") < F.col("slip"))).alias("own"), disposition("p_sens", "p_mask").alias("judged"), disposition("own_sens", "own_mask").alias("corrected"))
+    three = two.select("*", (F.col("own") != F.col("p_verdict")).alias("on_verdict"), (F.col("judged") != "RELEASABLE").alias("on_release"))
+    action = (
+        F.when(~F.col("on_verdict") & ~F.col("on_release"), "accept").when(F.col("esc") & F.col("on_release") & (F.col("corrected") == "COMPARTMENT_NOT_HELD"), "escalate")
+        .when(F.col("u2") < F.col("rev"), "revise").otherwise("reject")
+    )
+    four = three.select("*", action.alias("action"))
+    grounds = F.array_compact(F.array(F.when(F.col("told") & F.col("on_verdict"), F.lit("verdict")), F.when(F.col("told") & F.col("on_release"), F.lit("release"))))
+    reasons = F.array_compact(F.array(F.when(F.col("told") & F.col("on_release"), F.col("judged"))))
+    by = lambda accepted, other: F.when(F.col("action") == "accept", F.col(accepted)).when(F.col("action") != "reject", F.col(other))
+    return four.select("task", "analyst", "action", grounds.alias("grounds"), reasons.alias("reasons"), by("p_verdict", "own").alias("corrected_verdict"), by("p_sens", "own_sens").alias("corrected_sens"), by("p_mask", "own_mask").alias("corrected_mask"))
 
 
 def contributions(reviews: DataFrame) -> DataFrame:
