@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, mixing, nearcopies, packing, quality, urlrules, warc, winnow
+from . import bpe, language, lm, mixing, nearcopies, oracles, packing, quality, urlrules, warc, winnow
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -49,7 +49,7 @@ def op5_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     out = mixing.mix(table(spark, sf_dir, "documents"), narrow=True)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_hyperminhash_dedup": oracles.OP5, "op6_source_mixing": oracles.OP6, "op8_url_filters": oracles.op8(URL_RULES), "op10_warc_index": oracles.OP10}

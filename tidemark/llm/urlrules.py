@@ -42,7 +42,8 @@ def reverse_host(host: str) -> str:
 def sweep(urls: Iterator[tuple[str, str]], rules: list[tuple[str, str, str, str]]) -> Iterator[tuple[str | None, str | None]]:
     """(rule, verdict) of (key, path) pairs that come sorted by key; ``rules`` are (key, path, rule, verdict) by key.
 
-    Longest means the most characters of host and path together; of equals a block goes before an allow.
+    Longest means the most characters of host and path together; of equals a block goes before an allow, then
+    the larger text.
     """
     stack: list[tuple[str, list[tuple[str, str, str, str]]]] = []
     i = 0
@@ -65,7 +66,7 @@ def sweep(urls: Iterator[tuple[str, str]], rules: list[tuple[str, str, str, str]
         best = None
         for _, held in stack:
             for r in held:
-                if path.startswith(r[1]) and (best is None or (len(r[2]), r[3] == "block") > (len(best[2]), best[3] == "block")):
+                if path.startswith(r[1]) and (best is None or (len(r[2]), r[3] == "block", r[2]) > (len(best[2]), best[3] == "block", best[2])):
                     best = r
         yield (best[2], best[3]) if best else (None, None)
 
