@@ -8,10 +8,11 @@ are bucket keys: two documents with J = 0.8 miss each other in all bands with pr
 
 Equal sets are one class. In each bucket the smallest class is a centre, every member is paired with it, pairs are first
 judged by the similarity that the registers estimate, corrected for collisions of compressed registers, and then by the
-full sets. Connected components follow. Buckets that still hold more than one component go on: further members become
-centres, eight times as many in each round, and are paired with members of other components, until every bucket is one
-component or all its members have been centres. So no pair in a bucket is lost, yet a group of near copies costs a few
-pairs a member. Nothing is capped, and no list of documents, links or components comes to the driver.
+full sets. Connected components follow. The documents of buckets that still hold more than one component take their
+rarest shingles for keys (see ``_rare_keys``): under those, members become centres in turn, 64 times as many in each
+round, and are paired with members of other components, until every key has one component or all its members have been
+centres. So no pair in a bucket is lost, yet a group of near copies costs a few pairs a member. Nothing is capped, and no
+list of documents, links or components comes to the driver.
 """
 
 from __future__ import annotations
@@ -176,6 +177,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for a in range(0, big.num_rows, 1000):
+                batch = big.slice(a, 1000)
+                sets = [shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "h"])
+
+    return run
+
+
+def _rare_keys(texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(key, rep, n, at): of each set of n shingles the n - ceil(threshold * n) + 1 that are in the fewest of these texts.
+
+    Two sets that are alike share one of those, whatever else is common to many: the rest of either set is too small to
+    hold all that they must share. Shingles of one text alone are left out.
+    ``at`` is a key's place among the set's shingles, from the rarest.
+    """
+    each = staged(texts.mapInArrow(_sets(size), "rep bigint, n bigint, h array<bigint>").select("rep", "n", F.explode("h").alias("h")).distinct(), "shingles")
+    spread = each.groupBy("h").agg(F.count("*").alias("df"))
+    ranked = each.join(spread, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
+    must = F.floor((F.col("n") * round(threshold * 100) + 99) / 100)  # rounded up
+    first = F.slice("all", F.lit(1), (F.size("all") - must + 1).cast("int"))
+    return ranked.select("rep", "n", F.posexplode(first).alias("at", "x")).where("x.df > 1").select(F.col("x.h").alias("key"), "rep", "n", "at")
+
+
 def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -189,9 +216,11 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     # One class for equal sets; its smallest id stands for it from here on.
     classes = staged(known.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = known.join(classes, (known.same == classes.same) & (known.id == classes.rep)).select("rep", "n", "bands", known.same).dropDuplicates(["rep", "same"])
-    rows = reps.select("rep", "n", F.explode("bands").alias("key")).distinct()
-    shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).where("members > 1")
-    members = staged(rows.join(shared, "key").select("key", "rep", "n", "centre", "members"), "buckets")
+    # One shuffle by key; a bucket's rows are ids, and sets that are equal have been made one.
+    bucket = Window.partitionBy("key")
+    rows = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    rows = rows.select("key", "rep", "n", F.count("*").over(bucket).alias("members"), F.min("rep").over(bucket).alias("centre"))
+    members = staged(rows.where("members > 1"), "buckets")
     texts = staged(base.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -202,28 +231,36 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     # Rows that share an id but not a set are linked through their id.
     many = known.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("id")
     through = known.join(many, "id").join(classes, "same").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    edges = staged(verified(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()).union(through), "links")
+    stars = staged(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    edges = staged(verified(stars).union(through), "links")
     labels = components(edges)
-    # The order in which members become centres; the smallest was one already, so buckets of two are done.
-    open_ = members.where("members > 2").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1).select("key", "rep", "n", "members", "place")
-    tried, first, last = None, 1, 8
+    tried, first, last, top = stars, 0, 1, round(threshold * 100)
+    open_ = None
     while True:
-        now = open_.where(F.col("members") > first).join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        now = staged(now.join(mixed, "key").select("key", "rep", "n", "members", "place", "component"), "open")
+        rows = members.select("key", "rep", "n", F.lit(0).alias("at")) if open_ is None else open_
+        now = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where(f"lo <> hi AND members > {first}").select("key", "members")
+        now = now.join(mixed, "key")
+        if open_ is None:
+            # Documents of unsettled buckets go on with their rarest shingles for keys: purer, and exact.
+            open_ = staged(_rare_keys(texts.join(now.where("members > 2").select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), size, threshold), "rare")
+            continue
+        if "place" not in now.columns:
+            now = now.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1)
+        now = staged(now.select("key", "rep", "n", "at", "place", "component"), "open")
         if now.limit(1).count() == 0:
             break
         c, m = now.where((F.col("place") >= first) & (F.col("place") < last)).alias("c"), now.alias("m")
-        alike = 100 * F.least("c.n", "m.n") >= round(threshold * 100) * F.greatest("c.n", "m.n")
+        # What two sets can share from here on, were this their first common key; a pair that is alike passes there.
+        ahead = F.least(F.col("c.n") - F.col("c.at"), F.col("m.n") - F.col("m.at"))
+        alike = (100 * F.least("c.n", "m.n") >= top * F.greatest("c.n", "m.n")) & ((100 + top) * ahead >= top * (F.col("c.n") + F.col("m.n")))
         pairs = c.join(m, (F.col("c.key") == F.col("m.key")) & (F.col("c.component") != F.col("m.component")) & alike).select(F.least("c.rep", "m.rep").alias("a"), F.greatest("c.rep", "m.rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
         found = staged(verified(pairs), "links")
         if found.limit(1).count():
             edges = staged(edges.union(found), "links")
             labels = components(edges)
-        open_, first, last = now.drop("component"), last, last * 8
+        open_, first, last = now.drop("component"), last, last * 64
     out = marked.join(classes.select("same", "rep"), "same", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
