@@ -76,12 +76,12 @@ def _below(cuts: list[int], value: Column, step: int = 64) -> Column:
     return start + count(F.slice(whole, start + 1, F.lit(step)))
 
 
-def with_next(docs: DataFrame, ident: str, carry: list[str], stretches: int | None = None) -> DataFrame:
-    """Adds ``next_<c>`` for each c of ``carry``: that column of the next row in ascending ``ident``; the last row's next
-    is the first. Null ids come first; rows of one id follow the columns of ``carry`` in order.
+def in_stretches(docs: DataFrame, ident: str, stretches: int | None = None) -> tuple[DataFrame, str, str]:
+    """Rows dealt out by stretch of ascending ``ident``, with the names of two added columns: stretch, and ghost.
 
-    Ids are cut into ``stretches`` by quantiles, each ordered on its own, and the first rows of a stretch are also sent
-    to the one before it. So no task holds all rows; the driver keeps one id a stretch.
+    Ids are cut into ``stretches`` by quantiles, each to be ordered on its own, and the first rows of a stretch are also
+    sent, as ghosts, to the one before it (those of the first to the last). So no task holds all rows; the driver keeps
+    one id a stretch. Null ids come first.
     """
     spark = docs.sparkSession
     stretches = stretches or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -104,7 +104,8 @@ def with_next(docs: DataFrame, ident: str, carry: list[str], stretches: int | No
 
 
 def next_of(rows: DataFrame, ident: str, carry: list[str], b: str, ghost: str, ties: list[str]) -> DataFrame:
-    """Second half of ``with_next``, after columns have been added to its rows."""
+    """Adds ``next_<c>`` for each c of ``carry``: that column of the next row in ascending ``ident``; the last row's next is the
+    first. Rows of one id follow ``ties``. ``rows`` come from ``in_stretches``, whose ghosts are dropped here."""
     order = Window.partitionBy(b).orderBy(ghost, F.asc_nulls_first(ident), *[F.asc_nulls_first(c) for c in ties])
     return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carry]).where(~F.col(ghost)).drop(b, ghost)
 
@@ -115,7 +116,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Reads doc_id and text; null texts count as empty.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows, b, ghost = with_next(base, "doc_id", ["text"])
+    rows, b, ghost = in_stretches(base, "doc_id")
     rows = add_choices(rows, "text", "own")
     rows = rows.withColumn("own_set", hashes(F.col("own")))
     rows = next_of(rows, "doc_id", ["text", "own_set"], b, ghost, ["text"])
