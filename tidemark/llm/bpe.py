@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 
-#: Memoised pieces per Python worker; the memo is emptied when it is full.
-MEMO = 600_000
+#: Memoised units, and pieces, per Python worker. A full memo becomes the old one, in which misses of the new one are looked up, so
+#: frequent units stay and at most twice as many are held.
+MEMO = 500_000
 #: A space beside other white space, and the places between units of such a text.
-IRREGULAR = re.compile(r"\s | \s").search
+IRREGULAR = re.compile(r" (?:\s|(?<=\s\s))").search
 BETWEEN = re.compile(r"(?<=\S) (?=\S)").split
 
 
@@ -40,8 +41,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder for one rank file; ``pattern`` splits text into pieces that are encoded apart."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = MEMO) -> None:
+        self.ranks, self.room = ranks, room
         self.table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.table[i] = token
@@ -57,13 +58,24 @@ class Bpe:
                 if len(left) != 2:
                     continue
                 self.parts[i] = (ranks[left[0]], ranks[left[1]])
-            auto.add_word(token.decode("latin-1"), len(token))
+            auto.add_word(token.decode("latin-1"), i)
         auto.make_automaton()
         self.matches = auto.iter
+        self.sizes = list(map(len, self.table))
+        # The longest token that is a proper prefix of a token, or -1.
+        self.shorter = [-1] * len(self.table)
+        for token, i in ranks.items():
+            for k in range(len(token) - 1, 0, -1):
+                j = ranks.get(token[:k])
+                if j is not None and j in self.parts:
+                    self.shorter[i] = j
+                    break
         self.pairs: dict[int, bool] = {}
         self.strings = list(map(str, range(len(self.table))))
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.old_pieces: dict[str, tuple[int, ...]] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, piece: bytes, below: int) -> list[bytes]:
         """Merges of rank below ``below`` in order of rank, the leftmost of equals first."""
@@ -108,30 +120,33 @@ class Bpe:
         whole = self.ranks.get(raw)
         if whole is not None:
             return (whole,)
-        n = len(raw)
-        longest = [1] * n
-        for end, size in self.matches(raw.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        ranks, parts, open_, out, at, size = self.ranks, self.parts, bytearray(b"\x01") * (n + 1), [], 0, longest[0]
+        n, sizes, shorter, pairs, base = len(raw), self.sizes, self.shorter, self.pairs, len(self.table)
+        # By the place before its start; matches come by their end, so the last of a start is its longest.
+        longest = {end - sizes[i]: i for end, i in self.matches(raw.decode("latin-1"))}
+        blocked, out, at, last, token = None, [], 0, -1, longest[-1]
         while at < n:
-            token = None
-            while size:
-                if open_[at + size]:
-                    token = ranks.get(raw[at : at + size])
-                    if token is not None and token in parts and (not out or self.together(out[-1], token)):
+            while token >= 0:
+                if blocked is None or at + sizes[token] not in blocked:
+                    if last < 0:
+                        break
+                    ok = pairs.get(last * base + token)
+                    if ok is None:
+                        ok = self.together(last, token)
+                    if ok:
                         break
-                    token = None
-                size -= 1
-            if token is not None:
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += size
-                size = longest[at] if at < n else 0
+                at += sizes[token]
+                last = token
+                token = longest[at - 1] if at < n else -1
             else:
-                open_[at] = 0
-                size = len(self.table[out.pop()])
-                at -= size
+                if blocked is None:
+                    blocked = set()
+                blocked.add(at)
+                token = out.pop()
+                at -= sizes[token]
+                last = out[-1] if out else -1
         return tuple(out)
 
     def unit(self, unit: str) -> tuple[int, ...]:
@@ -140,12 +155,15 @@ class Bpe:
         for x in self.split(unit):
             ids = pieces.get(x)
             if ids is None:
-                if len(pieces) >= MEMO:
-                    pieces.clear()
-                ids = pieces[x] = self.piece(x)
+                ids = self.old_pieces.get(x)
+                if ids is None:
+                    ids = self.piece(x)
+                if len(x) <= 64:
+                    pieces[x] = ids
+                    if len(pieces) >= self.room:
+                        self.old_pieces, pieces = pieces, {}
+                        self.pieces = pieces
             out += ids
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
         if len(self.pairs) >= 4 * MEMO:
             self.pairs.clear()
         return tuple(out)
@@ -156,16 +174,18 @@ class Bpe:
         if not text:
             return []
         parts = BETWEEN(text) if IRREGULAR(text) else text.split(" ")
-        memo, out, first = self.memo, [], True
-        for x in parts:
-            if not first:
-                x = " " + x
-            first = False
+        memo, out = self.memo, list(self.unit(parts[0]))
+        for x in parts[1:]:  # the memo is of units by what follows their space
             ids = memo.get(x)
             if ids is None:
-                ids = self.unit(x)
+                ids = self.old.get(x)
+                if ids is None:
+                    ids = self.unit(" " + x)
                 if len(x) <= 64:
                     memo[x] = ids
+                    if len(memo) >= self.room:
+                        self.old, memo = memo, {}
+                        self.memo = memo
             out += ids
         return out
 

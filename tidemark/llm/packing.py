@@ -99,8 +99,8 @@ def pack(docs: list[np.ndarray], length: int, pad: int, dtype: str) -> dict:
 def positions(bits: bytes, rows: int, length: int) -> np.ndarray:
     """Position ids, counted from the last restart in each row."""
     fresh = np.unpackbits(np.frombuffer(bits, np.uint8))[: rows * length].reshape(rows, length)
-    at = np.arange(length)
-    return at - np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
+    at = np.arange(length, dtype=np.int32)
+    return at - np.maximum.accumulate(np.where(fresh, at, np.int32(0)), axis=1)
 
 
 def _writer(path: str, pattern: str, folder: str, length: int, pad: int):
@@ -175,7 +175,6 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while i < len(cu):
                 row_starts.append(set(cu[i + 1 : i + 2 + cu[i]].tolist()))
                 i += 2 + cu[i]
-            names = list(map(str, range(int(ids.max(initial=0)) + 1)))
             t = pa.ipc.open_file(pa.BufferReader(raw["arrow"])).read_all().to_pydict()
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_parts", "file", "first_row", "first_start", "ids_sha256", "sound")}
             k, n = 0, len(t["doc"])
@@ -187,8 +186,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         parts.append(ids[r, s : s + m])
                         sound &= s in row_starts[r] and s + m in row_starts[r] and at[r, s] == 0 and at[r, s + m - 1] == m - 1
                     j += 1
-                whole = np.concatenate(parts).tolist() if parts else []
-                for key, v in zip(out, (t["doc_id"][k], len(whole), len(parts), file, t["row"][k], t["start"][k], hashlib.sha256(",".join(map(names.__getitem__, whole)).encode()).hexdigest(), bool(sound)), strict=True):
+                whole = np.concatenate(parts).astype("<u4") if parts else np.empty(0, "<u4")
+                for key, v in zip(out, (t["doc_id"][k], len(whole), len(parts), file, t["row"][k], t["start"][k], hashlib.sha256(whole.tobytes()).hexdigest(), bool(sound)), strict=True):
                     out[key].append(v)
                 k = j
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_parts"], pa.int32()), pa.array(out["file"], pa.string()), pa.array(out["first_row"], pa.int32()), pa.array(out["first_start"], pa.int32()), pa.array(out["ids_sha256"], pa.string()), pa.array(out["sound"], pa.bool_())], list(out))
@@ -196,7 +195,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_packed(packs: DataFrame) -> DataFrame:
     """One row a document, read back from the files: doc_id, n_tokens, n_parts, file, first_row and first_start (-1 and 0
-    without tokens), ids_sha256, and sound: its segments lie at cumulative lengths and their positions restart."""
+    without tokens), ids_sha256 (of the ids as little-endian uint32), and sound: its segments lie at cumulative lengths and their positions restart."""
     ship(packs.sparkSession)
     n = max(1, packs.count())
     return packs.select("file", "about").repartition(n).mapInArrow(_reader, "doc_id bigint, n_tokens bigint, n_parts int, file string, first_row int, first_start int, ids_sha256 string, sound boolean")
