@@ -387,7 +387,7 @@ def test_gradient():
 
 def test_probabilities_are_causal_and_sum_to_one():
     known = lm.classes(np.arange(50.0))
-    p = lm.unpack(lm.initial())
+    p = lm.scorer(lm.unpack(lm.initial()), known)
     rng = np.random.default_rng(1)
     text = rng.integers(0, 50, 70)
     for at in (0, 15, 16, 40):
