@@ -49,7 +49,7 @@ class Words(dict):
     """64-bit hashes of words, remembered; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -138,7 +138,7 @@ def _verify(size: int, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in (big.slice(a, 500) for big in batches for a in range(0, big.num_rows, 500)):
             said = [batch.column(i).to_pylist() for i in (2, 3)]
             new = [t for t in dict.fromkeys([*said[0], *said[1]]) if t not in held]
             sets = [shingles(t, size) for t in new]
