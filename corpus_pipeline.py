@@ -31,7 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     cutoffs = quality.learn_cutoffs(staged(quality.add_rules(quality.text_measures(docs, keep=["doc_id", "lang"])), "quality"), labels, "lang")
     rows = quality.add_rules(quality.text_measures(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang"), keep=["row", "lang"]))
-    return quality.apply_rules(rows, cutoffs, "lang").where("kept").select("row.*")
+    # A row number keeps the optimizer from moving the filter below the measures, which would compute them many times.
+    rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    return quality.apply_rules(rows, cutoffs, "lang").where(F.col("kept") & (F.col("seq") >= 0)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
