@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from tidemark.llm import bpe, language, mixing, nearcopies, quality
 from tidemark.llm.queries import RANKS
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import fresh, staged
 
 #: A document whose two best languages are closer than this has none.
 LEAST_SCORE = 0.02
@@ -21,9 +21,9 @@ LEAST_SCORE = 0.02
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language is a toss-up."""
     samples = language.learn(docs.where("doc_id IS NOT NULL").where(~language.held_out()))
-    # A struct holds the columns, so names that the operator adds can't clash.
-    rows = language.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), samples)
-    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    rows = language.identify(docs, samples, pred, score)
+    return rows.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from ..ship import ship
 
 #: Memoised units, and pieces, per Python worker. A full memo becomes the old one, in which misses of the new one are looked up, so
 #: frequent units stay and at most twice as many are held.
-MEMO = 500_000
+MEMO = 250_000
 #: A space beside other white space, and the places between units of such a text.
 IRREGULAR = re.compile(r" (?:\s|(?<=\s\s))").search
 BETWEEN = re.compile(r"(?<=\S) (?=\S)").split
@@ -164,7 +164,7 @@ class Bpe:
                         self.old_pieces, pieces = pieces, {}
                         self.pieces = pieces
             out += ids
-        if len(self.pairs) >= 4 * MEMO:
+        if len(self.pairs) >= 2 * MEMO:
             self.pairs.clear()
         return tuple(out)
 

@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..ship import ship
@@ -152,21 +153,19 @@ def learn(docs: DataFrame, docs_per_language: int = 96, chars_per_language: int
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with two more columns, from ``text`` alone."""
+    """``docs`` with two more columns, from ``text`` alone; their names must be new."""
     ship(docs.sparkSession)
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            for a in range(0, max(n, 1), 2000):
-                part = batch.slice(a, 2000)
-                got, sure = classify(part.column(part.schema.get_field_index(text)).to_pylist(), samples)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.string()), pa.array(sure, pa.float64())], [*part.schema.names[:-1], pred, score])
-
-    text = "__text__"
-    rows = docs.select(*docs.columns, F.col("text").alias(text))
-    schema = docs.schema.add(pred, "string").add(score, "double")
-    return rows.mapInArrow(run, schema)
+            for a in range(0, max(batch.num_rows, 1), 1000):
+                part = batch.slice(a, 1000)
+                got, sure = classify(part.column(at).to_pylist(), samples)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string()), pa.array(sure, pa.float64())], [*part.schema.names, pred, score])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def held_out(ident: str = "doc_id"):
