@@ -16,6 +16,9 @@ from ..operators import stats as S
 from ..sources import adapters as A
 from ..sources.adapters import using
 
+#: Votes that one task of Spark fits together.
+FLEET = 2**20
+
 
 def _stream(spark, d):
     return K.contribute(A.clearances(spark, d), A.part_tasks(spark, d))
@@ -414,15 +417,19 @@ DISPERSION_INDEX = _VIEW + """, s AS (SELECT evidence, count(*) AS k, sum(votes)
  SELECT round(sum(a) FILTER (r > 0 AND r < 1) / sum(b) FILTER (r > 0 AND r < 1), 5) AS index, count(*) FILTER (r > 0 AND r < 1) AS strata, count(*) FILTER (r <= 0 OR r >= 1) AS degenerate FROM x"""
 
 
+def _fleets(spark, d):
+    """All votes, their tasks spread by hash over as few fleets as hold about ``FLEET`` votes each."""
+    v = A.votes(spark, d).where("task IS NOT NULL AND who IS NOT NULL AND verdict IS NOT NULL")
+    return v.withColumn("fleet", F.pmod(F.xxhash64("task"), F.lit(-(-v.count() // FLEET) or 1)).cast("int"))
+
+
 def glad(spark, d):
-    """Tasks and voters under item difficulty, one small fleet for each remainder of the task."""
-    v = A.votes(spark, d).where(F.col("task") < 60).withColumn("fleet", (F.col("task") % 3).cast("int"))
-    return I.with_difficulty(v, I.fit_glad, "fleet", 8)
+    """Tasks and voters under item difficulty; a voter has an ability in each fleet."""
+    return I.with_difficulty(_fleets(spark, d), I.fit_glad, "fleet")
 
 
 def cc_rasch(spark, d):
-    v = A.votes(spark, d).where(F.col("task") < 60).withColumn("fleet", (F.col("task") % 3).cast("int"))
-    return I.with_difficulty(v, I.fit_rasch, "fleet", 8)
+    return I.with_difficulty(_fleets(spark, d), I.fit_rasch, "fleet")
 
 
 def synthetic_corpus(spark, d):
