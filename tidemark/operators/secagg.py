@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 RING = 2**64
 SCALE = 2**24
 LEAST = 3
+#: Clients of a cohort on average; fewer than LEAST in one are then as good as impossible.
+COHORT = 32
 _D = "decimal(38,0)"
 
 
@@ -59,3 +61,16 @@ def reveal(masked: DataFrame, group: list[str], least: int = LEAST) -> DataFrame
 def secure_sum(vectors: DataFrame, seed: int = 0, group: list[str] | None = None, least: int = LEAST) -> DataFrame:
     group = group or []
     return reveal(shares(vectors, seed, group), group, least)
+
+
+def cohort_sum(vectors: DataFrame, seed: int = 0, group: list[str] | None = None, size: int = COHORT, least: int = LEAST) -> DataFrame:
+    """As ``secure_sum`` of any number of clients: masks cancel within cohorts, whose totals are added up.
+
+    A group is cut into cohorts by a hash of the client, as many as have ``size`` clients or more on average, so the pairs
+    grow with the clients alone. Groups of fewer than twice ``size`` clients are one cohort.
+    """
+    group = group or []
+    n = vectors.groupBy(*group).agg(F.greatest(F.floor(F.count("*") / size), F.lit(1)).alias("_n"))
+    parted = (vectors.join(n, group) if group else vectors.join(F.broadcast(n))).withColumn("_cohort", F.pmod(F.xxhash64(F.lit(seed), "client"), F.col("_n")))
+    sums = secure_sum(parted.select(*group, "_cohort", "client", "v"), seed, [*group, "_cohort"], least)
+    return sums.groupBy(*group, "coord").agg(F.sum("total").alias("total"), F.sum("participants").alias("participants"))

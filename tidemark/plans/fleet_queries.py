@@ -283,7 +283,7 @@ RING_ENCODING = """WITH e AS (SELECT c_custkey, round_even(c_acctbal * 16777216.
 
 
 def secure_sum(spark, d):
-    """Masked sums of the vectors of each round, over cohorts of at most forty."""
+    """Masked sums of the vectors of the first hundred clients of each round, as its SQL has them; see ``secure_sum_all``."""
     u = A.updates(spark, d).where(F.col("client") < 100)
     return M.secure_sum(u, 5, ["round"]).select("round", "coord", F.round("total", 4).alias("total"), "participants")
 
@@ -292,6 +292,14 @@ _LONG = using("updates") + ", l AS (SELECT round, client, unnest(v) AS x, unnest
 SECURE_SUM = _LONG + " SELECT round, coord, round(sum(x), 4) AS total, count(*) AS participants FROM l WHERE client < 100 GROUP BY ALL HAVING count(*) >= 3"
 
 
+def secure_sum_all(spark, d):
+    """Masked sums of all vectors of each round, over hashed cohorts."""
+    return M.cohort_sum(A.updates(spark, d), 5, ["round"]).select("round", "coord", F.round("total", 4).alias("total"), "participants")
+
+
+SECURE_SUM_ALL = _LONG + " SELECT round, coord, round(sum(round_even(x * 16777216.0::DOUBLE, 0)::HUGEINT)::DOUBLE / 16777216.0::DOUBLE, 4) AS total, count(*) AS participants FROM l GROUP BY ALL HAVING count(*) >= 3"
+
+
 def _agg(fn):
     return lambda spark, d: fn(A.updates(spark, d)).select("round", "coord", F.round("value", 5).alias("value"))
 
@@ -451,7 +459,7 @@ QUERIES = {
     "widest_separation": (widest_separation, WIDEST_SEPARATION), "budget_composition": (budget_composition, BUDGET_COMPOSITION), "participation": (participation, PARTICIPATION), "value_noise": (value_noise, VALUE_NOISE),
     "consensus": (consensus, CONSENSUS), "variance_split": (variance_split, VARIANCE_SPLIT), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_CI), "validity_flags": (validity_flags, VALIDITY_FLAGS), "auc_by_center": (auc_by_center, AUC_BY_CENTER),
     "worst_probe_auc": (worst_probe_auc, WORST_PROBE_AUC), "ds_steps": (ds_steps, DS_STEPS), "ds_reliability": (ds_reliability, DS_RELIABILITY), "federated_step": (federated_step, FEDERATED_STEP), "ds_agreement": (ds_agreement, DS_AGREEMENT),
-    "ring_encoding": (ring_encoding, RING_ENCODING), "secure_sum": (secure_sum, SECURE_SUM), "fed_avg": (_agg(V.fed_avg), FED_AVG), "fed_prox": (_agg(V.fed_prox), FED_AVG), "fed_median": (_agg(V.fed_median), FED_MEDIAN),
+    "ring_encoding": (ring_encoding, RING_ENCODING), "secure_sum": (secure_sum, SECURE_SUM), "secure_sum_all": (secure_sum_all, SECURE_SUM_ALL), "fed_avg": (_agg(V.fed_avg), FED_AVG), "fed_prox": (_agg(V.fed_prox), FED_AVG), "fed_median": (_agg(V.fed_median), FED_MEDIAN),
     "trimmed_mean": (_agg(lambda u: V.trimmed_mean(u, 4)), TRIMMED_MEAN), "krum": (_agg(lambda u: V.krum(u, 4)), KRUM), "multi_krum": (_agg(lambda u: V.multi_krum(u, 4, 8)), MULTI_KRUM), "bulyan": (_agg(lambda u: V.bulyan(u, 4)), BULYAN),
     "geometric_median": (_agg(lambda u: V.geometric_median(u, 3)), GEOMETRIC_MEDIAN), "attacks": (attacks, ATTACKS), "server_view": (server_view, SERVER_VIEW), "audit_policies": (audit_policies, AUDIT_POLICIES), "selective_risk": (selective_risk, SELECTIVE_RISK),
     "audit_outcome": (audit_outcome, AUDIT_OUTCOME), "stratified_delta": (stratified_delta, STRATIFIED_DELTA), "permutation_p": (permutation_p, PERMUTATION_P), "dispersion_index": (dispersion_index, DISPERSION_INDEX),
