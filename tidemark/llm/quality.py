@@ -1,12 +1,19 @@
 """Quality rules whose cutoffs come with a guarantee on how many good documents they reject.
 
 Each rule is a number that is larger for worse documents. A rule rejects what lies above a cutoff. Labelled documents
-are the holdout: for a stratum and a rule, cutoffs are tried from the mildest to the strictest, and a cutoff is
-certified if the exact binomial test shows that the share of good documents above it is below ``alpha`` over the number
-of rules. The first cutoff that fails ends the sequence, so trying many costs nothing; over rules and strata the level
-``delta`` is divided (Bonferroni). With probability 1 - delta every stratum then loses at most ``alpha`` of its good
-documents to all rules together. Among certified cutoffs a rule takes the one that rejects most bad documents, provided
-that most of the labelled documents which it rejects are bad; otherwise it rejects nothing.
+are the holdout, and what is certified is the union of the rules. The cutoffs of all rules of a stratum are put in one
+order without looking at good labels: first those which set bad documents apart most clearly from all documents, within a
+rule the mildest first. They are added to the union one by one, and it is certified while the exact
+binomial test shows that the share of good documents it rejects is below ``alpha``. The first that fails ends the
+sequence, so trying many costs nothing; over strata and the pool the level ``delta`` is divided (Bonferroni). With
+probability 1 - delta every stratum then loses at most ``alpha`` of its good documents to all rules together. Among
+certified cutoffs a rule takes the one that rejects most bad documents, provided that most of the labelled documents
+which it rejects are bad; otherwise it rejects nothing. Both only make the union smaller.
+
+A stratum with so few good labels that not even a union without false rejections could be certified takes the cutoffs of
+the pool, which is certified in the same way on all strata together: ``alpha`` then holds for documents of all strata
+together, not for that stratum alone. It takes a pooled cutoff only if most of its own labelled documents above it are
+bad, so a stratum without bad labels rejects nothing.
 
 Everything is a DataFrame or SQL function.
 """
@@ -121,30 +128,57 @@ def certified_cutoffs(rated: DataFrame, holdout: DataFrame, stratum: str, good:
     """One row a stratum and rule that has a cutoff: stratum, rule, cutoff, n_good, false_rejections, n_bad, caught.
 
     ``rated`` gives the candidate cutoffs (quantiles over all its documents), ``holdout`` is labelled by the boolean
-    ``good``; a null stratum is one of its own. Without labels, or with too few for the level, there are no rows.
+    ``good``; a null stratum is one of its own. Counts are those of the stratum, with pooled cutoffs too. Without labels,
+    or with too few for the level even in the pool, there are no rows.
     """
-    named = lambda df: df.select(F.col(stratum).cast("string").alias("stratum"), *[c for c in df.columns if c in RULES or c == good])
-    long = lambda df, *more: df.select("stratum", *more, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v")) for r in RULES])).alias("x")).select("stratum", *more, "x.rule", "x.v")
-    grid = named(rated).groupBy("stratum").agg(*[F.percentile_approx(r, F.array(*map(F.lit, GRID)), 20000).alias(r) for r in RULES])
-    grid = grid.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.array_distinct(F.col(r)).alias("cuts")) for r in RULES])).alias("x")).select("stratum", "x.rule", "x.cuts")
-    held = named(holdout).where(F.col(good).isNotNull())
-    tests = F.lit(len(RULES)) * F.greatest(held.select(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("")))).scalar(), F.lit(1))
-    counts = (
-        long(held, good).join(grid.withColumnRenamed("stratum", "s2").withColumnRenamed("rule", "r2"), F.col("stratum").eqNullSafe(F.col("s2")) & (F.col("rule") == F.col("r2")))
-        .select("stratum", "rule", good, F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("above"), "cuts")
-        .groupBy("stratum", "rule", "cuts", "above").agg(F.sum(F.col(good).cast("long")).alias("g"), F.sum((~F.col(good)).cast("long")).alias("b"))
-        .groupBy("stratum", "rule", "cuts").agg(F.collect_list(F.struct("above", "g", "b")).alias("hist"))
+    # The key is "*" for the pool, "" for the null stratum and "=" with the name for others.
+    own = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))
+    keyed = lambda df: df.select(F.explode(F.array(own, F.lit("*"))).alias("key"), *[c for c in df.columns if c in RULES or c == good])
+    values = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v")) for r in RULES])
+    grid = keyed(rated).groupBy("key").agg(*[F.percentile_approx(r, F.array(*map(F.lit, GRID)), 20000).alias(r) for r in RULES])
+    # What lies above a cutoff is at most the share above the first quantile that has its value.
+    share = lambda r, c: F.get(F.array(*[F.lit(1 - q) for q in GRID]), (F.array_position(r, c) - 1).cast("int"))
+    candidates = lambda r: F.transform(F.array_distinct(r), lambda c, i: F.struct(i.alias("step"), c.alias("cutoff"), share(F.col(r), c).alias("share")))
+    cuts = F.array(*[F.struct(F.lit(r).alias("rule"), candidates(r).alias("cuts")) for r in RULES])
+    grid = grid.select("key", F.explode(cuts).alias("x")).select("key", "x.rule", F.explode("x.cuts").alias("c")).select("key", "rule", "c.*")
+    held = staged(keyed(holdout.where(F.col(good).isNotNull())), "held")
+    sizes = held.groupBy("key").agg(F.sum(F.col(good).cast("long")).alias("n_good"), F.sum((~F.col(good)).cast("long")).alias("n_bad"))
+    # One test for each stratum and one for the pool.
+    level = delta / F.greatest(held.select(F.count_distinct("key")).scalar(), F.lit(1))
+    above = (
+        held.select("key", good, F.explode(values).alias("x")).join(grid.select("key", F.col("rule"), "step", "cutoff"), "key").where((F.col("x.rule") == F.col("rule")) & (F.col("x.v") > F.col("cutoff")))
+        .groupBy("key", "rule", "step").agg(F.sum(F.col(good).cast("long")).alias("false_rejections"), F.sum((~F.col(good)).cast("long")).alias("caught"))
     )
-    # Cutoffs fall from the first to the last; a document is above those at the end of the list.
-    tried = counts.select("stratum", "rule", F.posexplode("cuts").alias("step", "cutoff"), F.size("cuts").alias("n_cuts"), "hist")
-    over = lambda field, hit: F.aggregate(F.filter("hist", hit), F.lit(0).cast("long"), lambda a, x: a + x[field])
-    hit = lambda x: x["above"] >= F.col("n_cuts") - F.col("step")
-    tried = tried.select("stratum", "rule", "step", "cutoff", over("g", hit).alias("false_rejections"), over("b", hit).alias("caught"), over("g", lambda x: F.lit(True)).alias("n_good"), over("b", lambda x: F.lit(True)).alias("n_bad"), tests.alias("tests"))
-    p = binomial_tail(F.col("false_rejections"), F.col("n_good"), alpha / len(RULES))
-    order = Window.partitionBy("stratum", "rule").orderBy("step")
-    ok = tried.withColumn("sure", F.min((p <= delta / F.col("tests")).cast("int")).over(order)).where("sure = 1 AND caught > false_rejections")
-    best = Window.partitionBy("stratum", "rule").orderBy(F.desc("caught"), "step")
-    return ok.withColumn("n", F.row_number().over(best)).where("n = 1").select("stratum", "rule", "cutoff", "n_good", "false_rejections", "n_bad", "caught")
+    tried = grid.join(sizes, "key").join(above, ["key", "rule", "step"], "left").fillna(0, ["false_rejections", "caught"])
+    # Poisson deviance of the bad documents caught from as many as among all documents. A milder cutoff is part of every
+    # stricter one, so it is as urgent as the most urgent of those.
+    hoped = F.col("n_bad") * F.col("share")
+    deviance = F.when(F.col("caught") > hoped, F.col("caught") * F.log(F.col("caught") / hoped) - F.col("caught") + hoped).otherwise(0.0)
+    urgent = F.max(F.round(deviance, 9)).over(Window.partitionBy("key", "rule").orderBy("step").rowsBetween(0, Window.unboundedFollowing))
+    tried = tried.withColumn("urgent", urgent)
+    tried = staged(tried.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("urgent"), "step", "rule"))), "tried")
+    # The place at which the union first rejects each good document.
+    path = tried.groupBy("key").agg(F.collect_list(F.struct("rule", "cutoff", "place")).alias("path"))
+    beyond = lambda r: F.filter("path", lambda c: (c["rule"] == r) & (F.col(r) > c["cutoff"]))
+    hits = F.array_min(F.flatten(F.array(*[F.transform(beyond(r), lambda c: c["place"]) for r in RULES])))
+    lost = held.where(good).join(path, "key").select("key", hits.alias("place")).where("place IS NOT NULL").groupBy("key", "place").agg(F.count("*").alias("lost"))
+    order = Window.partitionBy("key").orderBy("place")
+    union = tried.join(lost, ["key", "place"], "left").withColumn("lost", F.sum(F.coalesce("lost", F.lit(0))).over(order))
+    p = binomial_tail(F.col("lost"), F.col("n_good"), alpha)
+    sure = union.withColumn("sure", F.min((p <= level).cast("int")).over(order)).where("sure = 1")
+    counts = ["n_good", "false_rejections", "n_bad", "caught"]
+    large = sure.where("key <> '*'").select("key", "rule", "step", "cutoff", *counts)
+    # Strata that could not be certified whatever their labels say.
+    small = sizes.where(F.col("key") != "*").where(F.pow(F.lit(1 - alpha), F.col("n_good")) > level)
+    pool = sure.where("key = '*'").groupBy().agg(F.collect_list(F.struct("rule", "step", "cutoff")).alias("pool"))
+    pooled = (
+        held.join(F.broadcast(small), "key").select("key", good, "n_good", "n_bad", F.explode(values).alias("x")).join(F.broadcast(pool)).select("key", good, "n_good", "n_bad", "x", F.explode("pool").alias("c"))
+        .where((F.col("x.rule") == F.col("c.rule")) & (F.col("x.v") > F.col("c.cutoff")))
+        .groupBy("key", "c.rule", "c.step", "c.cutoff").agg(F.first("n_good").alias("n_good"), F.sum(F.col(good).cast("long")).alias("false_rejections"), F.first("n_bad").alias("n_bad"), F.sum((~F.col(good)).cast("long")).alias("caught"))
+    )
+    best = Window.partitionBy("key", "rule").orderBy(F.desc("caught"), "step")
+    ok = large.unionByName(pooled).where("caught > false_rejections").withColumn("n", F.row_number().over(best)).where("n = 1")
+    return ok.select(F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("stratum"), "rule", "cutoff", *counts)
 
 
 def apply_rules(rated: DataFrame, cutoffs: DataFrame, stratum: str, max_strata: int = 50_000) -> DataFrame:
