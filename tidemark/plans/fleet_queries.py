@@ -181,6 +181,14 @@ BOOTSTRAP_CI = _BYTASK + """, i AS (SELECT *, row_number() OVER (ORDER BY task)
  SELECT (SELECT round(sum(wins) / sum(n)::DOUBLE, 6) FROM t) AS point, round(max(rate) FILTER (p = 4), 6) AS low, round(max(rate) FILTER (p = 195), 6) AS high FROM p"""
 
 
+def bootstrap_ci_2000(spark, d):
+    """The same by the operator's 2,000 resamples."""
+    return S.cluster_bootstrap(A.trials(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
+
+
+BOOTSTRAP_CI_2000 = BOOTSTRAP_CI.replace("range(200 *", "range(2000 *").replace("p = 4)", "p = 49)").replace("p = 195)", "p = 1950)")
+
+
 def validity_flags(spark, d):
     """What speaks against each source's labels as a classification."""
     j = A.table(spark, d, "documents").join(A.table(spark, d, "labels"), "doc_id", "left")
@@ -404,7 +412,7 @@ STRATIFIED_DELTA = _VIEW + ", g AS (SELECT evidence, avg(votes / seen::DOUBLE) F
 
 
 def permutation_p(spark, d):
-    """The channel test with 20 draws."""
+    """The channel test with 20 draws, as its SQL has them: too few for ``detected``; see ``permutation_p_4200``."""
     x = S.channel_test(_rates(spark, d).withColumn("rate", F.round("rate", 6)), 20, 90210)
     return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("p", 6).alias("p"), "detected")
 
@@ -416,6 +424,15 @@ PERMUTATION_P = _VIEW + """, t AS (SELECT task, evidence, carries, round(votes /
  SELECT round(delta, 6) AS delta, strata, round((count(*) FILTER (d <= delta) + 1) / 21.0::DOUBLE, 6) AS p, (count(*) FILTER (d <= delta) + 1) / 21.0 < 0.001 AS detected FROM nul CROSS JOIN o GROUP BY delta, strata"""
 
 
+def permutation_p_4200(spark, d):
+    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001."""
+    x = S.channel_test(_rates(spark, d).withColumn("rate", F.round("rate", 6)))
+    return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("p", 6).alias("p"), "detected")
+
+
+PERMUTATION_P_4200 = PERMUTATION_P.replace("range(20)", "range(4200)").replace("21.0", "4201.0")
+
+
 def dispersion_index(spark, d):
     x = S.dispersion(_view(spark, d).select(F.col("evidence").alias("stratum"), "votes", "seen"))
     return x.select(F.round("index", 5).alias("index"), "strata", F.col("degenerate").cast("long").alias("degenerate"))
@@ -457,11 +474,11 @@ QUERIES = {
     "fleet_contribute": (fleet_contribute, FLEET_CONTRIBUTE), "observed_sets": (observed_sets, OBSERVED_SETS), "readership": (readership, READERSHIP), "link_jaccard": (link_jaccard, LINK_JACCARD), "linkage_summary": (linkage_summary, LINKAGE_SUMMARY),
     "identifiability": (identifiability, IDENTIFIABILITY), "k_anonymity": (k_anonymity, K_ANONYMITY), "rarity_suppression": (rarity_suppression, RARITY_SUPPRESSION), "subsample": (subsample, SUBSAMPLE), "pooling": (pooling, POOLING),
     "widest_separation": (widest_separation, WIDEST_SEPARATION), "budget_composition": (budget_composition, BUDGET_COMPOSITION), "participation": (participation, PARTICIPATION), "value_noise": (value_noise, VALUE_NOISE),
-    "consensus": (consensus, CONSENSUS), "variance_split": (variance_split, VARIANCE_SPLIT), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_CI), "validity_flags": (validity_flags, VALIDITY_FLAGS), "auc_by_center": (auc_by_center, AUC_BY_CENTER),
+    "consensus": (consensus, CONSENSUS), "variance_split": (variance_split, VARIANCE_SPLIT), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_CI), "bootstrap_ci_2000": (bootstrap_ci_2000, BOOTSTRAP_CI_2000), "validity_flags": (validity_flags, VALIDITY_FLAGS), "auc_by_center": (auc_by_center, AUC_BY_CENTER),
     "worst_probe_auc": (worst_probe_auc, WORST_PROBE_AUC), "ds_steps": (ds_steps, DS_STEPS), "ds_reliability": (ds_reliability, DS_RELIABILITY), "federated_step": (federated_step, FEDERATED_STEP), "ds_agreement": (ds_agreement, DS_AGREEMENT),
     "ring_encoding": (ring_encoding, RING_ENCODING), "secure_sum": (secure_sum, SECURE_SUM), "secure_sum_all": (secure_sum_all, SECURE_SUM_ALL), "fed_avg": (_agg(V.fed_avg), FED_AVG), "fed_prox": (_agg(V.fed_prox), FED_AVG), "fed_median": (_agg(V.fed_median), FED_MEDIAN),
     "trimmed_mean": (_agg(lambda u: V.trimmed_mean(u, 4)), TRIMMED_MEAN), "krum": (_agg(lambda u: V.krum(u, 4)), KRUM), "multi_krum": (_agg(lambda u: V.multi_krum(u, 4, 8)), MULTI_KRUM), "bulyan": (_agg(lambda u: V.bulyan(u, 4)), BULYAN),
     "geometric_median": (_agg(lambda u: V.geometric_median(u, 3)), GEOMETRIC_MEDIAN), "attacks": (attacks, ATTACKS), "server_view": (server_view, SERVER_VIEW), "audit_policies": (audit_policies, AUDIT_POLICIES), "selective_risk": (selective_risk, SELECTIVE_RISK),
-    "audit_outcome": (audit_outcome, AUDIT_OUTCOME), "stratified_delta": (stratified_delta, STRATIFIED_DELTA), "permutation_p": (permutation_p, PERMUTATION_P), "dispersion_index": (dispersion_index, DISPERSION_INDEX),
+    "audit_outcome": (audit_outcome, AUDIT_OUTCOME), "stratified_delta": (stratified_delta, STRATIFIED_DELTA), "permutation_p": (permutation_p, PERMUTATION_P), "permutation_p_4200": (permutation_p_4200, PERMUTATION_P_4200), "dispersion_index": (dispersion_index, DISPERSION_INDEX),
     "glad": (glad, None), "cc_rasch": (cc_rasch, None), "synthetic_corpus": (synthetic_corpus, None), "dp_noise": (dp_noise, None),
 }

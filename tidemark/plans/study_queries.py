@@ -68,6 +68,17 @@ GATE_NULL = f"""WITH r AS (SELECT doc_id AS id, lang AS center, round(length(reg
  SELECT round(auc, 5) AS auc, round(mean, 5) AS null_mean, round(sd, 5) AS null_sd, round(p95, 5) AS null_p95, round((auc - mean) / sd, 2) AS z, auc > p95 AS significant, auc BETWEEN 0.45 AND 0.55 AS passed FROM o, m"""
 
 
+def gate_null_20(spark, d):
+    """The same with the reference's twenty trials."""
+    rows = _shape_rows(spark, d)
+    seen = S.auc(rows, "score", "positive", ["center"]).agg(F.avg("auc").alias("auc"))
+    r = X.against_null(seen, X.null_of_auc(rows, 20), 20)
+    return r.select(*[F.round(c, 5).alias(c) for c in ("auc", "null_mean", "null_sd", "null_p95")], F.round("z", 2).alias("z"), "significant", "passed")
+
+
+GATE_NULL_20 = GATE_NULL.replace("range(10)", "range(20)").replace("p = 9)", "p = 19)")
+
+
 def gate_probes(spark, d):
     """Fitted probes, each held out by language."""
     f = T.shape(F.col("text"))
@@ -168,7 +179,7 @@ def ledger_records(spark, d):
 LEDGER_RECORDS = _REVIEWS + " SELECT analyst AS analyst_id, count(*) AS n, count(*) AS digests, min('7:' || analyst || ':' || task) AS first FROM reviews GROUP BY analyst"
 
 QUERIES = {
-    "attribution_outcomes": (attribution_outcomes, ATTRIBUTION_OUTCOMES), "leave_one_out": (leave_one_out, None), "triage_scores": (triage_scores, TRIAGE_SCORES), "gate_null": (gate_null, GATE_NULL), "gate_probes": (gate_probes, None),
+    "attribution_outcomes": (attribution_outcomes, ATTRIBUTION_OUTCOMES), "leave_one_out": (leave_one_out, None), "triage_scores": (triage_scores, TRIAGE_SCORES), "gate_null": (gate_null, GATE_NULL), "gate_null_20": (gate_null_20, GATE_NULL_20), "gate_probes": (gate_probes, None),
     "consensus_cliff": (consensus_cliff, CONSENSUS_CLIFF), "blind_cliff": (blind_cliff, BLIND_CLIFF), "school_fleets": (school_fleets, SCHOOL_FLEETS), "decode_stability": (decode_stability, DECODE_STABILITY), "tagged_clearance": (tagged_clearance, TAGGED_CLEARANCE),
     "power": (power, POWER), "latent_slice": (latent_slice, LATENT_SLICE), "compare_sources": (compare_sources, COMPARE_SOURCES), "dig_documents": (dig_documents, DIG_DOCUMENTS), "ledger_records": (ledger_records, LEDGER_RECORDS),
 }
