@@ -4,7 +4,8 @@ A source of size S (words) and target T is taken T / S times over. Every documen
 copies. The fraction f that is left is the inclusion probability for one more copy: documents are ranked by
 q = (u / (1 - u)) / (f / (1 - f)), random odds over inclusion odds, u from a hash of seed and id, and the sample is the
 beginning of that order whose words come nearest to what the target still lacks. So inclusion differs between sources,
-the size is fixed rather than random, and reruns agree.
+the size is fixed rather than random, and reruns agree. Within a source f is one constant and each source is ranked for
+itself, so there the order is that of u: simple random sampling.
 
 No window runs over a source: x = q / (1 + q) is cut into cells, the cells' sizes are summed, and only the documents of
 the one cell in which the sample ends are put in order. Everything is a DataFrame or SQL function.
