@@ -130,9 +130,10 @@ def _writer(path: str, pattern: str, folder: str, length: int, pad: int):
             names.clear()
             return out
 
-        for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array(coder.encode(text.as_py() or ""), dtype)
+        for batch in (part for big in batches for part in bpe.slices(big)):
+            flat, sizes = coder.encode_many(batch.column(1))
+            flat = flat.astype(dtype)
+            for ident, ids in zip(batch.column(0).to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 docs.append(ids)
                 names.append(ident)
                 held += len(ids)
@@ -148,8 +149,10 @@ def _writer(path: str, pattern: str, folder: str, length: int, pad: int):
 def write_packed(docs: DataFrame, path: str, pattern: str, length: int = 2048, pad: int = 50256) -> DataFrame:
     """Writes every whole text; one row a pack: file (without suffix), about (JSON), n_docs, n_tokens.
 
-    Reads doc_id (null stays null) and text (null counts as empty). Packs are made within input partitions, without a
-    shuffle; a task that is run again writes files of other names, and only those of the attempt that counted are listed.
+    Reads doc_id (null stays null) and text (null counts as empty, texts of any length are split without loss). Packs
+    are made within input partitions, without a shuffle; a task that is run again writes files of other names, and only
+    those of the attempt that counted are listed. Every row is a document of its own, also rows that repeat; an empty
+    table gives no packs.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
