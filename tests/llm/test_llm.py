@@ -310,16 +310,40 @@ def naive_phrases(text, sample):
 
 
 def test_phrases_equal_naive_parsing():
-    sample = (EN * 2 + "brown fox jumps")
-    table, [(_, auto, _)] = language.models((("en", sample),))
     fold = lambda s: "".join(c if c.isalpha() else " " for c in s.lower())
-    for t in (EN[:100], "zzz the cat qq", "quiet roof rain", "a", FR[:120]):
-        s = table[language.fold(t)]
-        block = np.full((language.BLOCK, 1), language.FILL, np.uint8)
-        block[: len(s), 0] = s
-        known = set(fold(sample))
-        if all(c in known for c in fold(t)):
-            assert language.phrases(block, auto)[0] == naive_phrases(fold(t), fold(sample))
+    rng = np.random.default_rng(4)
+    han = "".join(map(chr, range(0x4E00, 0x4E00 + 600)))  # more letters than a byte has values
+    for letters in ("ab ", "abcdefgh  ", han + " "):
+        for size in (3, 60, 3000):
+            sample = "".join(rng.choice(list(letters), size))
+            known, (auto,) = language.learned((("x", sample),))
+            texts = ["".join(rng.choice(list(letters + "z\u00df"), n)) for n in (1, 5, 255, 256, 257, 600, 1500)] + [sample, sample * 3, letters[0] * 2000]
+            table = language.symbols(known)
+            got = language.phrases([table[language.fold(t)] for t in texts], auto)
+            assert got.tolist() == [naive_phrases(fold(t), fold(sample)) for t in texts]
+
+
+def test_prediction_of_large_scripts(spark):
+    """Two languages of one script with hundreds of letters, which differ in what stands beside what."""
+    rng = np.random.default_rng(5)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 900)]
+    after = {lang: {c: rng.choice(han, 6) for c in han} for lang in ("la", "lb")}
+
+    def text(lang, n):
+        out = [han[rng.integers(900)]]
+        while len(out) < n:
+            out.append(rng.choice(after[lang][out[-1]]))
+        return "".join(out)
+
+    rows = [(i, text("la" if i % 2 else "lb", 900), "la" if i % 2 else "lb") for i in range(60)]
+    got = language.predict(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()
+    assert all(r.lang_pred == ("la" if r.doc_id % 2 else "lb") for r in got)
+
+
+def test_language_learns_from_whole_documents(spark):
+    rows = [(i, "x" * 10 + f" {i}", "a") for i in range(200)] + [(900, "y" * 5000, "b"), (901, "y" * 4000, "b"), (None, "q", "c")]
+    found = dict(language.learn(spark.createDataFrame(rows, "doc_id int, text string, lang string"), docs_per_language=7))
+    assert found["a"].count("\n") == 7 and found["b"] == "y" * 4000 + "\n"
 
 
 def test_language(spark, docs, none):
@@ -332,6 +356,8 @@ def test_language(spark, docs, none):
     blind = {r.doc_id: r.lang_pred for r in language.identify(df.select("doc_id", "text"), (("en", EN), ("fr", FR))).collect()}
     assert blind[3] == "en" and blind[4] == "fr"
     assert language.predict(docs.select("doc_id", "text", "lang")).count() == len(ROWS) and language.predict(none).count() == 0
+    odd = language.predict(df.withColumn("lang_pred", F.lit(1)).withColumn("Score", F.lit(2)), keep=["doc_id", "Score", "lang"])
+    assert odd.columns == ["doc_id", "lang", "held_out", "lang_pred", "score"] and odd.where("lang_pred = 'en'").count() > 20
     unknown = language.predict(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in unknown} == {"und"}
 

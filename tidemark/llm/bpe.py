@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .shared import tidy
 
 #: Memoised pairs, a power of two: a pair has one place, and a newer pair takes it over.
 PAIRS = 2**21
@@ -372,7 +373,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, keep: list[str]) -> DataF
     ship(docs.sparkSession)
     rows = docs.select(*[c for c in dict.fromkeys(keep) if c.lower() not in {"n_tokens", "ids"}], F.col("text").alias("text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["n_tokens bigint", "ids array<int>"])
-    return rows.mapInArrow(encode_column(path, pattern, "ids"), schema)
+    return rows.mapInArrow(tidy(encode_column(path, pattern, "ids")), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -383,4 +384,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(encode_column(path, pattern, "digest"), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(encode_column(path, pattern, "digest")), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..ship import ship
-from .shared import staged
+from .shared import staged, tidy
 
 M, ROWS = 512, 7
 BANDS = M // ROWS
@@ -49,7 +49,7 @@ class Words(dict):
     """64-bit hashes of words, remembered; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -195,7 +195,7 @@ def _rare_keys(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     hold all that they must share. Shingles of one text alone are left out.
     ``at`` is a key's place among the set's shingles, from the rarest.
     """
-    each = staged(texts.mapInArrow(_sets(size), "rep bigint, n bigint, h array<bigint>").select("rep", "n", F.explode("h").alias("h")).distinct(), "shingles")
+    each = staged(texts.mapInArrow(tidy(_sets(size), WORDS.clear), "rep bigint, n bigint, h array<bigint>").select("rep", "n", F.explode("h").alias("h")).distinct(), "shingles")
     spread = each.groupBy("h").agg(F.count("*").alias("df"))
     ranked = each.join(spread, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("all"))
     must = F.floor((F.col("n") * round(threshold * 100) + 99) / 100)  # rounded up
@@ -211,7 +211,7 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """
     ship(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text"))
-    marked = staged(base.mapInArrow(_sketches(size), "id bigint, n bigint, same string, bands array<bigint>"), "sketches")
+    marked = staged(base.mapInArrow(tidy(_sketches(size), WORDS.clear), "id bigint, n bigint, same string, bands array<bigint>"), "sketches")
     known = marked.where("same IS NOT NULL AND id IS NOT NULL")
     # One class for equal sets; its smallest id stands for it from here on.
     classes = staged(known.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
@@ -226,7 +226,7 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        return two.select("a", "b", "ta", "tb").mapInArrow(_verify(size, threshold), "a bigint, b bigint").distinct()
+        return two.select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(size, threshold), WORDS.clear), "a bigint, b bigint").distinct()
 
     # Rows that share an id but not a set are linked through their id.
     many = known.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("id")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import bpe
-from .shared import new_folder, staged
+from .shared import new_folder, staged, tidy
 
 #: Tokens in a pack at most, but for its last document.
 PACK = 2_000_000
@@ -159,7 +159,7 @@ def write_packed(docs: DataFrame, path: str, pattern: str, length: int = 2048, p
     folder = new_folder(spark, "packed")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_writer(path, pattern, folder, length, pad), "file string, about string, n_docs bigint, n_tokens bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidy(_writer(path, pattern, folder, length, pad)), "file string, about string, n_docs bigint, n_tokens bigint")
     return staged(rows, "packs")
 
 
@@ -201,4 +201,4 @@ def read_packed(packs: DataFrame) -> DataFrame:
     without tokens), ids_sha256 (of the ids as little-endian uint32), and sound: its segments lie at cumulative lengths and their positions restart."""
     ship(packs.sparkSession)
     n = max(1, packs.count())
-    return packs.select("file", "about").repartition(n).mapInArrow(_reader, "doc_id bigint, n_tokens bigint, n_parts int, file string, first_row int, first_start int, ids_sha256 string, sound boolean")
+    return packs.select("file", "about").repartition(n).mapInArrow(tidy(_reader), "doc_id bigint, n_tokens bigint, n_parts int, file string, first_row int, first_start int, ids_sha256 string, sound boolean")
