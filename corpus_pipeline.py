@@ -12,14 +12,17 @@ from pyspark.sql import Window
 
 from tidemark.llm import bpe, language, mixing, nearcopies, quality
 from tidemark.llm.queries import RANKS
-from tidemark.llm.shared import fresh, staged
+from tidemark.llm.shared import clean, fresh, mark, staged
 
 #: A document whose two best languages are closer than this has none.
 LEAST_SCORE = 0.02
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language is a toss-up."""
+    """Drops documents without letters, null texts among them, and those whose language is a toss-up.
+
+    Rows with null or repeated ids are judged like all others; an empty table stays empty.
+    """
     samples = language.learn(docs.where("doc_id IS NOT NULL").where(~language.held_out()))
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
     rows = language.identify(docs, samples, pred, score)
@@ -27,13 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the base rules or a certified cutoff of their language reject."""
+    """Drops documents that the base rules or a certified cutoff of their language reject.
+
+    Null, empty and blank texts fail the base; rows with null ids are judged without being learned from. Measures are
+    computed once, into a staged table. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    cutoffs = quality.learn_cutoffs(staged(quality.add_rules(quality.text_measures(docs, keep=["doc_id", "lang"])), "quality"), labels, "lang")
-    rows = quality.add_rules(quality.text_measures(docs.select(F.struct(*docs.columns).alias("row"), "text", "lang"), keep=["row", "lang"]))
-    # A row number keeps the optimizer from moving the filter below the measures, which would compute them many times.
-    rows = rows.withColumn("seq", F.monotonically_increasing_id())
-    return quality.apply_rules(rows, cutoffs, "lang").where(F.col("kept") & (F.col("seq") >= 0)).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    rated = staged(quality.add_rules(quality.text_measures(rows, keep=["row", "doc_id", "lang"])), "quality")
+    return quality.apply_rules(rated, quality.learn_cutoffs(rated, labels, "lang"), "lang").where("kept").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +50,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; documents without words only in whole copies, an empty table stays empty."""
     mixed = mixing.mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source"))
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_tokens and ids of every document."""
+    """doc_id, source, lang, n_tokens and ids of every document, repeated rows included; a null text has no ids."""
     return bpe.tokenize(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, ["doc_id", "source", "lang"])
 
 
@@ -62,10 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    What a stage wrote on its way, and the rows that it began with, are deleted when its own rows are there.
+    """
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = staged(docs, name.replace(" ", "-"))
+            docs = staged(docs, f"stage-{i}-{name.replace(' ', '-')}")
+            clean(spark, since, (f"/stage-{i}-",))
     return docs
