@@ -398,22 +398,24 @@ def test_url_rules(spark):
 
 
 def test_gradient():
-    p0 = lm.initial().astype(np.float64)
+    p0 = lm.initial().astype(np.float64) + np.random.default_rng(9).standard_normal(len(lm.initial())) * 0.1
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, lm.INPUTS, (4, lm.BLOCK)), rng.integers(-1, lm.OUTPUTS, (4, lm.BLOCK))
     first = np.array([True, False, True, False])
-    _, g = lm.gradient(lm.unpack(p0), x, y, first)
+    table = rng.standard_normal((lm.INPUTS, lm.OUTPUTS))
+    _, g = lm.gradient(lm.unpack(p0), table, x, y, first)
     flat = np.concatenate([g[k].ravel() for k in lm._SHAPES])
     for i in np.argsort(-np.abs(flat))[:6].tolist() + rng.choice(len(flat), 6).tolist():
         a, b = p0.copy(), p0.copy()
         a[i] += 1e-4
         b[i] -= 1e-4
-        assert (lm.gradient(lm.unpack(a), x, y, first)[0] - lm.gradient(lm.unpack(b), x, y, first)[0]) / 2e-4 == pytest.approx(flat[i], rel=1e-3, abs=1e-6)
+        assert (lm.gradient(lm.unpack(a), table, x, y, first)[0] - lm.gradient(lm.unpack(b), table, x, y, first)[0]) / 2e-4 == pytest.approx(flat[i], rel=1e-3, abs=1e-6)
 
 
 def test_probabilities_are_causal_and_sum_to_one():
     known = lm.classes(np.arange(50.0))
-    p = lm.scorer(lm.unpack(lm.initial()), known)
+    counts = np.arange(50.0)
+    p = lm.Scorer(lm.unpack(lm.initial()), lm.successors(np.zeros((lm.INPUTS, lm.OUTPUTS)), known, counts))
     rng = np.random.default_rng(1)
     text = rng.integers(0, 50, 70)
     for at in (0, 15, 16, 40):
