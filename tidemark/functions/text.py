@@ -61,9 +61,10 @@ def strip_boilerplate(lowered: Column) -> Column:
 
 def detect_facts(text: Column, terms: dict[str, list[str]] = FACT_TERMS) -> Column:
     """Ids of the facts that a text asserts, in the order of the table; none for a null text."""
-    t = strip_boilerplate(F.lower(F.coalesce(text, F.lit(""))))
-    hit = lambda words: F.greatest(*[t.contains(w) for w in words], F.lit(False))
-    return F.array_compact(F.array(*[F.when(hit(words), F.lit(fact)) for fact, words in terms.items()]))
+    hit = lambda t, words: F.greatest(*[t.contains(w) for w in words], F.lit(False))
+    found = lambda t: F.array_compact(F.array(*[F.when(hit(t, words), F.lit(fact)) for fact, words in terms.items()]))
+    # As the element of an array the stripped text is made once for all terms.
+    return F.transform(F.array(strip_boilerplate(F.lower(F.coalesce(text, F.lit(""))))), found)[0]
 
 
 def parse_verdict(text: Column, marker: str | None = "VERDICT") -> Column:
@@ -100,7 +101,7 @@ def balanced_shots(pool: DataFrame, k: int, order: str, verdict: str) -> DataFra
     """k rows that alternate between the classes, true first; the rest comes from one class when the other is used up."""
     from pyspark.sql import Window
 
-    both = pool.withColumn("_rank", F.row_number().over(Window.partitionBy(verdict).orderBy(order)))
+    both = pool.withColumn("_rank", F.row_number().over(Window.partitionBy(verdict).orderBy(order))).where(F.col("_rank") <= k)  # the limit is pushed below the shuffle
     place = 2 * F.col("_rank") - F.when(F.col(verdict), 1).otherwise(0)
     return both.withColumn("_place", place).orderBy("_place").limit(k).drop("_rank", "_place")
 

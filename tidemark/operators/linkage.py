@@ -47,16 +47,46 @@ def observed(stream: DataFrame) -> DataFrame:
     return stream.groupBy("pseudonym").agg(F.array_sort(F.collect_set("task")).alias("tasks"))
 
 
+def open_cells(fleet: DataFrame, tasks: DataFrame, ruling: L.Ruling = L.DROP, ceiling: tuple[int, int] = OPEN_CEILING) -> DataFrame:
+    """What ``contribute`` gives, by label instead of by task: (analyst, pseudonym, t_sens, t_mask, size, first, last).
+
+    At most 64 rows an analyst however many tasks there are; counts over contributions are sums of ``size``.
+    """
+    sizes = tasks.groupBy(F.col("sens").alias("t_sens"), F.col("mask").alias("t_mask")).agg(F.count("*").alias("size"), F.min("task").alias("first"), F.max("task").alias("last"))
+    cells = reachable_cells(fleet, label_cells(tasks, ruling, ceiling), "sens", "mask")
+    return cells.join(F.broadcast(sizes), ["t_sens", "t_mask"]).select("analyst", "pseudonym", "t_sens", "t_mask", "size", "first", "last")
+
+
+def task_reach(fleet: DataFrame, tasks: DataFrame, ruling: L.Ruling = L.DROP, ceiling: tuple[int, int] = OPEN_CEILING) -> DataFrame:
+    """(task, n, rows): distinct analysts who contribute to each task, and contributions; tasks without any have no row."""
+    per = open_cells(fleet, tasks, ruling, ceiling).groupBy("t_sens", "t_mask").agg(F.count_distinct("analyst").alias("n"), F.count("*").alias("rows"))
+    keyed = tasks.select("task", F.col("sens").alias("t_sens"), F.col("mask").alias("t_mask"))
+    return keyed.join(F.broadcast(per), ["t_sens", "t_mask"]).select("task", "n", "rows")
+
+
 def link(stream: DataFrame, fleet: DataFrame, tasks: DataFrame, ruling: L.Ruling = L.DROP, ceiling: tuple[int, int] = OPEN_CEILING) -> DataFrame:
-    """The linkage attack: for each pseudonym, the clearances whose reachable tasks are most like what was seen.
+    """The linkage attack on a stream of contributions, as a control may have left it; see ``linked``."""
+    per_task = stream.select("pseudonym", "task").distinct().join(tasks, "task")
+    seen = per_task.groupBy("pseudonym", F.col("sens").alias("t_sens"), F.col("mask").alias("t_mask")).agg(F.count("*").alias("k"))
+    return linked(seen, stream.select("analyst", "pseudonym").distinct(), fleet, tasks, ruling, ceiling)
+
+
+def link_open(fleet: DataFrame, tasks: DataFrame, ruling: L.Ruling = L.DROP, ceiling: tuple[int, int] = OPEN_CEILING) -> DataFrame:
+    """The linkage attack on all contributions, from labels alone: a pseudonym has all tasks of a label or none."""
+    open_ = open_cells(fleet, tasks, ruling, ceiling)
+    seen = open_.select("pseudonym", "t_sens", "t_mask", F.col("size").alias("k")).distinct()
+    return linked(seen, open_.select("analyst", "pseudonym").distinct(), fleet, tasks, ruling, ceiling)
 
+
+def linked(seen: DataFrame, active: DataFrame, fleet: DataFrame, tasks: DataFrame, ruling: L.Ruling, ceiling: tuple[int, int]) -> DataFrame:
+    """For each pseudonym, the clearances whose reachable tasks are most like what was seen.
+
+    ``seen`` is (pseudonym, t_sens, t_mask, k): distinct tasks by label; ``active`` the (analyst, pseudonym) who spoke.
     Jaccard counts are sums over labels (at most 64) rather than over tasks: a candidate reaches all tasks of a label or
     none. Returns analyst, pseudonym, silent, score, tied (distinct compartment sets at the top score), crowd (analysts who
     share the pseudonym), anonymity, inferred (smallest mask by size, then value) and exact. No overlap scores 0.
     """
-    spark = stream.sparkSession
-    per_task = stream.select("pseudonym", "task").distinct().join(tasks, "task")
-    seen = per_task.groupBy("pseudonym", F.col("sens").alias("t_sens"), F.col("mask").alias("t_mask")).agg(F.count("*").alias("k"))
+    spark = seen.sparkSession
     cells = label_cells(tasks, ruling, ceiling)
     sizes = tasks.groupBy(F.col("sens").alias("t_sens"), F.col("mask").alias("t_mask")).agg(F.count_distinct("task").alias("size"))
     reach = reachable_cells(L.candidates(spark), cells, "c_sens", "c_mask").join(F.broadcast(sizes), ["t_sens", "t_mask"])
@@ -69,8 +99,7 @@ def link(stream: DataFrame, fleet: DataFrame, tasks: DataFrame, ruling: L.Ruling
     scored = grid.withColumn("score", F.when(union == 0, 0.0).otherwise(shared / union))
     order = Window.partitionBy("pseudonym")
     top = scored.withColumn("best", F.max("score").over(order)).where("score = best").groupBy("pseudonym").agg(F.first("best").alias("score"), F.count_distinct("c_mask").alias("tied"), F.min(F.struct(F.bit_count("c_mask").alias("n"), F.col("c_mask").alias("m"))).alias("least"))
-    crowd = stream.groupBy("pseudonym").agg(F.count_distinct("analyst").alias("crowd"))
-    active = stream.select("analyst", "pseudonym").distinct()
+    crowd = active.groupBy("pseudonym").agg(F.count_distinct("analyst").alias("crowd"))
     out = fleet.select("analyst", "mask").join(active, "analyst", "left").join(top, "pseudonym", "left").join(crowd, "pseudonym", "left")
     silent = F.col("score").isNull()
     return out.select(
@@ -96,18 +125,23 @@ def k_anonymity(stream: DataFrame, k: int) -> DataFrame:
     return stream.join(wide, "task", "left_semi")
 
 
-def rarity_suppression(stream: DataFrame, keep: float) -> DataFrame:
-    """Rows of the max(1, int(n * keep)) tasks with the widest reach, ties by task.
+def widest(reach: DataFrame, keep: float) -> DataFrame:
+    """The max(1, int(n * keep)) tasks of ``reach`` (task, n, ...) with the widest reach, ties by task.
 
     The number of tasks at each reach tells which reach is cut through; only that reach is put in order.
     """
-    reach = stream.groupBy("task").agg(F.count_distinct("analyst").alias("n"))
     hist = reach.groupBy("n").agg(F.count("*").alias("k"))
     upto = Window.orderBy(F.desc("n"))
     room = F.greatest(F.lit(1), F.floor(F.sum("k").over(Window.partitionBy()) * keep))
-    room = hist.select("n", (room - (F.sum("k").over(upto) - F.col("k"))).alias("room")).where("room > 0")
-    kept = reach.join(F.broadcast(room), "n").withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("task"))).where("place <= room")
-    return stream.join(kept.select("task"), "task", "left_semi")
+    room = hist.select("n", "k", (room - (F.sum("k").over(upto) - F.col("k"))).alias("room")).where("room > 0")
+    placed = reach.join(F.broadcast(room), "n")
+    cut = placed.where("k > room").withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy("task"))).where("place <= room")
+    return placed.where("k <= room").select(*reach.columns).unionByName(cut.select(*reach.columns))
+
+
+def rarity_suppression(stream: DataFrame, keep: float) -> DataFrame:
+    """Rows of the tasks with the widest reach; see ``widest``."""
+    return stream.join(widest(stream.groupBy("task").agg(F.count_distinct("analyst").alias("n")), keep).select("task"), "task", "left_semi")
 
 
 def subsample(stream: DataFrame, keep: float, seed: int = 7) -> DataFrame:
@@ -118,6 +152,11 @@ def pool(stream: DataFrame) -> DataFrame:
     return stream.withColumn("pseudonym", F.lit("POOLED"))
 
 
+def label_noise(rows: DataFrame) -> DataFrame:
+    """Share of randomised contributions (as ``participation`` gives them) on tasks that their analyst can't read; 0 of none."""
+    return rows.agg(F.coalesce(F.avg((~F.col("readable")).cast("double")), F.lit(0.0)).alias("noise"), F.count("*").alias("n"))
+
+
 CONTROLS = {"k_anonymity": k_anonymity, "rarity_suppression": rarity_suppression, "subsample": subsample, "pooling": lambda s: pool(s)}
 
 

@@ -32,10 +32,18 @@ _CON = using("clearances", "part_tasks") + """, stream AS (SELECT analyst, pseud
  kept AS (SELECT analyst, pseudonym, task FROM clearances f JOIN part_tasks t ON f.sens >= t.sens AND t.mask & ~f.mask = 0 WHERE t.mask & ~1 = 0)"""
 
 
+def _open(spark, d):
+    return K.open_cells(A.clearances(spark, d), A.part_tasks(spark, d))
+
+
+def _open_kept(spark, d):
+    return K.open_cells(A.clearances(spark, d), A.part_tasks(spark, d), L.KEEP, (0, 1))
+
+
 def fleet_contribute(spark, d):
-    """Readable and releasable tasks of every analyst, under both rulings."""
-    a = _stream(spark, d).groupBy("analyst").agg(F.count("*").alias("dropped"))
-    b = _kept(spark, d).groupBy("analyst").agg(F.count("*").alias("kept"))
+    """Readable and releasable tasks of every analyst, under both rulings; counted by label."""
+    a = _open(spark, d).groupBy("analyst").agg(F.sum("size").alias("dropped"))
+    b = _open_kept(spark, d).groupBy("analyst").agg(F.sum("size").alias("kept"))
     return A.clearances(spark, d).select("analyst").join(a, "analyst", "left").join(b, "analyst", "left").select("analyst", F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
@@ -43,8 +51,9 @@ FLEET_CONTRIBUTE = _CON + " SELECT analyst, (SELECT count(*) FROM stream s WHERE
 
 
 def observed_sets(spark, d):
-    o = K.observed(_kept(spark, d))
-    return o.select("pseudonym", F.size("tasks").alias("n"), F.element_at("tasks", 1).alias("first"), F.element_at("tasks", -1).alias("last"))
+    """Size and ends of each pseudonym's set of tasks; a set is a union of whole labels."""
+    o = _open_kept(spark, d).select("pseudonym", "t_sens", "t_mask", "size", "first", "last").distinct()
+    return o.groupBy("pseudonym").agg(F.sum("size").cast("int").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 OBSERVED_SETS = _CON + " SELECT pseudonym, count(DISTINCT task)::INT AS n, min(task) AS first, max(task) AS last FROM kept GROUP BY pseudonym"
@@ -59,7 +68,7 @@ READERSHIP = using("clearances", "part_tasks") + " SELECT task, t.sens, t.mask,
 
 def link_jaccard(spark, d):
     """The linkage attack on contributions whose rulings keep compartments."""
-    return K.link(_kept(spark, d), A.clearances(spark, d), A.part_tasks(spark, d), L.KEEP, (0, 1)).withColumn("score", F.round("score", 6))
+    return K.link_open(A.clearances(spark, d), A.part_tasks(spark, d), L.KEEP, (0, 1)).withColumn("score", F.round("score", 6))
 
 
 _CAND = "cand AS (SELECT (i // 16)::INT AS cs, (i % 16)::INT AS cm FROM range(64) r(i)), open AS (SELECT task, sens, mask FROM part_tasks WHERE mask & ~1 = 0), reach AS (SELECT cs, cm, task FROM cand JOIN open ON cs >= sens AND mask & ~cm = 0)"
@@ -74,7 +83,7 @@ LINK_JACCARD = _CON + f""", {_CAND}, seen AS (SELECT DISTINCT pseudonym, task FR
 
 def linkage_summary(spark, d):
     """Recovery, mean anonymity of those who spoke, and the share of the largest compartment set."""
-    x = K.link(_kept(spark, d), A.clearances(spark, d), A.part_tasks(spark, d), L.KEEP, (0, 1))
+    x = K.link_open(A.clearances(spark, d), A.part_tasks(spark, d), L.KEEP, (0, 1))
     top = A.clearances(spark, d).groupBy("mask").count().agg((F.max("count") / F.sum("count")).alias("prior"))
     return x.agg(F.round(F.avg(F.col("exact").cast("double")), 6).alias("recovery"), F.round(F.avg(F.when(~F.col("silent"), F.col("anonymity"))), 6).alias("anonymity"), F.sum(F.col("silent").cast("long")).alias("silent")).join(F.broadcast(top.select(F.round("prior", 6).alias("prior"))))
 
@@ -91,14 +100,14 @@ IDENTIFIABILITY = _CON + f", {_CAND}, s AS (SELECT cs, cm, list(task ORDER BY ta
 
 def k_anonymity(spark, d):
     n = max(2, A.clearances(spark, d).count() // 3)
-    return K.k_anonymity(_stream(spark, d), n).groupBy("task").agg(F.count("*").alias("n"))
+    return K.task_reach(A.clearances(spark, d), A.part_tasks(spark, d)).where(F.col("n") >= n).select("task", F.col("rows").alias("n"))
 
 
 K_ANONYMITY = _CON + " SELECT task, count(*) AS n FROM stream GROUP BY task HAVING count(DISTINCT analyst) >= greatest(2, (SELECT count(*) FROM clearances) // 3)"
 
 
 def rarity_suppression(spark, d):
-    return K.rarity_suppression(_stream(spark, d), 0.3).groupBy("task").agg(F.count("*").alias("n"))
+    return K.widest(K.task_reach(A.clearances(spark, d), A.part_tasks(spark, d)), 0.3).select("task", F.col("rows").alias("n"))
 
 
 RARITY_SUPPRESSION = _CON + ", r AS (SELECT task, count(DISTINCT analyst) AS n FROM stream GROUP BY task), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, task) AS p, count(*) OVER () AS m FROM r) SELECT task, n FROM k WHERE p <= greatest(1, floor(m * 0.3::DOUBLE))"
@@ -112,7 +121,8 @@ SUBSAMPLE = _CON + " SELECT analyst, count(*) AS n FROM stream WHERE ('0x' || su
 
 
 def pooling(spark, d):
-    return K.pool(_stream(spark, d)).groupBy("pseudonym").agg(F.count("*").alias("n"), F.count_distinct("task").alias("tasks"))
+    x = K.pool(_open(spark, d)).groupBy("pseudonym", "t_sens", "t_mask", "size").agg(F.sum("size").alias("n"))
+    return x.groupBy("pseudonym").agg(F.sum("n").alias("n"), F.sum("size").alias("tasks"))
 
 
 POOLING = _CON + " SELECT 'POOLED' AS pseudonym, count(*) AS n, count(DISTINCT task) AS tasks FROM stream"
@@ -172,21 +182,13 @@ VARIANCE_SPLIT = _BYTASK + " SELECT round(var_pop(wins / n::DOUBLE), 9) AS betwe
 
 
 def bootstrap_ci(spark, d):
-    """Interval of the rate by 200 resamples of tasks."""
-    return S.cluster_bootstrap(A.trials(spark, d), 200).select(*[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
-
-
-BOOTSTRAP_CI = _BYTASK + """, i AS (SELECT *, row_number() OVER (ORDER BY task) - 1 AS i, count(*) OVER () AS m FROM t), m AS (SELECT count(*) AS m FROM t), d AS (SELECT r.i // m AS draw, ('0x' || substr(md5('7:' || r.i), 1, 8))::BIGINT % m AS i FROM m, range(200 * (SELECT m FROM m)) r(i)),
- x AS (SELECT draw, sum(wins) / sum(n)::DOUBLE AS rate FROM d JOIN i USING (i) GROUP BY draw), p AS (SELECT rate, row_number() OVER (ORDER BY rate) - 1 AS p FROM x)
- SELECT (SELECT round(sum(wins) / sum(n)::DOUBLE, 6) FROM t) AS point, round(max(rate) FILTER (p = 4), 6) AS low, round(max(rate) FILTER (p = 195), 6) AS high FROM p"""
-
-
-def bootstrap_ci_2000(spark, d):
-    """The same by the operator's 2,000 resamples."""
+    """Interval of the rate by the operator's 2,000 resamples of tasks."""
     return S.cluster_bootstrap(A.trials(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("point", "low", "high")])
 
 
-BOOTSTRAP_CI_2000 = BOOTSTRAP_CI.replace("range(200 *", "range(2000 *").replace("p = 4)", "p = 49)").replace("p = 195)", "p = 1950)")
+BOOTSTRAP_CI = _BYTASK + """, i AS (SELECT *, row_number() OVER (ORDER BY task) - 1 AS i, count(*) OVER () AS m FROM t), m AS (SELECT count(*) AS m FROM t), d AS (SELECT r.i // m AS draw, ('0x' || substr(md5('7:' || r.i), 1, 8))::BIGINT % m AS i FROM m, range(2000 * (SELECT m FROM m)) r(i)),
+ x AS (SELECT draw, sum(wins) / sum(n)::DOUBLE AS rate FROM d JOIN i USING (i) GROUP BY draw), p AS (SELECT rate, row_number() OVER (ORDER BY rate) - 1 AS p FROM x)
+ SELECT (SELECT round(sum(wins) / sum(n)::DOUBLE, 6) FROM t) AS point, round(max(rate) FILTER (p = 49), 6) AS low, round(max(rate) FILTER (p = 1950), 6) AS high FROM p"""
 
 
 def validity_flags(spark, d):
@@ -291,21 +293,12 @@ RING_ENCODING = """WITH e AS (SELECT c_custkey, round_even(c_acctbal * 16777216.
 
 
 def secure_sum(spark, d):
-    """Masked sums of the vectors of the first hundred clients of each round, as its SQL has them; see ``secure_sum_all``."""
-    u = A.updates(spark, d).where(F.col("client") < 100)
-    return M.secure_sum(u, 5, ["round"]).select("round", "coord", F.round("total", 4).alias("total"), "participants")
-
-
-_LONG = using("updates") + ", l AS (SELECT round, client, unnest(v) AS x, unnest(range(len(v)))::INT AS coord FROM updates)"
-SECURE_SUM = _LONG + " SELECT round, coord, round(sum(x), 4) AS total, count(*) AS participants FROM l WHERE client < 100 GROUP BY ALL HAVING count(*) >= 3"
-
-
-def secure_sum_all(spark, d):
     """Masked sums of all vectors of each round, over hashed cohorts."""
     return M.cohort_sum(A.updates(spark, d), 5, ["round"]).select("round", "coord", F.round("total", 4).alias("total"), "participants")
 
 
-SECURE_SUM_ALL = _LONG + " SELECT round, coord, round(sum(round_even(x * 16777216.0::DOUBLE, 0)::HUGEINT)::DOUBLE / 16777216.0::DOUBLE, 4) AS total, count(*) AS participants FROM l GROUP BY ALL HAVING count(*) >= 3"
+_LONG = using("updates") + ", l AS (SELECT round, client, unnest(v) AS x, unnest(range(len(v)))::INT AS coord FROM updates)"
+SECURE_SUM = _LONG + " SELECT round, coord, round(sum(round_even(x * 16777216.0::DOUBLE, 0)::HUGEINT)::DOUBLE / 16777216.0::DOUBLE, 4) AS total, count(*) AS participants FROM l GROUP BY ALL HAVING count(*) >= 3"
 
 
 def _agg(fn):
@@ -412,25 +405,16 @@ STRATIFIED_DELTA = _VIEW + ", g AS (SELECT evidence, avg(votes / seen::DOUBLE) F
 
 
 def permutation_p(spark, d):
-    """The channel test with 20 draws, as its SQL has them: too few for ``detected``; see ``permutation_p_4200``."""
-    x = S.channel_test(_rates(spark, d).withColumn("rate", F.round("rate", 6)), 20, 90210)
+    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001."""
+    x = S.channel_test(_rates(spark, d).withColumn("rate", F.round("rate", 6)))
     return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("p", 6).alias("p"), "detected")
 
 
 PERMUTATION_P = _VIEW + """, t AS (SELECT task, evidence, carries, round(votes / seen::DOUBLE, 6) AS rate FROM view), k AS (SELECT evidence, count(*) FILTER (carries) AS k FROM t GROUP BY 1),
  g AS (SELECT evidence, avg(rate) FILTER (carries) - avg(rate) FILTER (NOT carries) AS gap FROM t GROUP BY 1), o AS (SELECT avg(gap) AS delta, count(*) AS strata FROM g WHERE gap IS NOT NULL),
- s AS (SELECT i AS draw, evidence, rate, row_number() OVER (PARTITION BY i, evidence ORDER BY ('0x' || substr(md5('90210:' || i || ':' || task), 1, 8))::BIGINT, task) <= k AS c FROM t JOIN k USING (evidence) CROSS JOIN range(20) r(i)),
+ s AS (SELECT i AS draw, evidence, rate, row_number() OVER (PARTITION BY i, evidence ORDER BY ('0x' || substr(md5('90210:' || i || ':' || task), 1, 8))::BIGINT, task) <= k AS c FROM t JOIN k USING (evidence) CROSS JOIN range(4200) r(i)),
  h AS (SELECT draw, evidence, avg(rate) FILTER (c) - avg(rate) FILTER (NOT c) AS gap FROM s GROUP BY ALL), nul AS (SELECT draw, avg(gap) AS d FROM h WHERE gap IS NOT NULL GROUP BY draw)
- SELECT round(delta, 6) AS delta, strata, round((count(*) FILTER (d <= delta) + 1) / 21.0::DOUBLE, 6) AS p, (count(*) FILTER (d <= delta) + 1) / 21.0 < 0.001 AS detected FROM nul CROSS JOIN o GROUP BY delta, strata"""
-
-
-def permutation_p_4200(spark, d):
-    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001."""
-    x = S.channel_test(_rates(spark, d).withColumn("rate", F.round("rate", 6)))
-    return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("p", 6).alias("p"), "detected")
-
-
-PERMUTATION_P_4200 = PERMUTATION_P.replace("range(20)", "range(4200)").replace("21.0", "4201.0")
+ SELECT round(delta, 6) AS delta, strata, round((count(*) FILTER (d <= delta) + 1) / 4201.0::DOUBLE, 6) AS p, (count(*) FILTER (d <= delta) + 1) / 4201.0 < 0.001 AS detected FROM nul CROSS JOIN o GROUP BY delta, strata"""
 
 
 def dispersion_index(spark, d):
@@ -474,11 +458,11 @@ QUERIES = {
     "fleet_contribute": (fleet_contribute, FLEET_CONTRIBUTE), "observed_sets": (observed_sets, OBSERVED_SETS), "readership": (readership, READERSHIP), "link_jaccard": (link_jaccard, LINK_JACCARD), "linkage_summary": (linkage_summary, LINKAGE_SUMMARY),
     "identifiability": (identifiability, IDENTIFIABILITY), "k_anonymity": (k_anonymity, K_ANONYMITY), "rarity_suppression": (rarity_suppression, RARITY_SUPPRESSION), "subsample": (subsample, SUBSAMPLE), "pooling": (pooling, POOLING),
     "widest_separation": (widest_separation, WIDEST_SEPARATION), "budget_composition": (budget_composition, BUDGET_COMPOSITION), "participation": (participation, PARTICIPATION), "value_noise": (value_noise, VALUE_NOISE),
-    "consensus": (consensus, CONSENSUS), "variance_split": (variance_split, VARIANCE_SPLIT), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_CI), "bootstrap_ci_2000": (bootstrap_ci_2000, BOOTSTRAP_CI_2000), "validity_flags": (validity_flags, VALIDITY_FLAGS), "auc_by_center": (auc_by_center, AUC_BY_CENTER),
+    "consensus": (consensus, CONSENSUS), "variance_split": (variance_split, VARIANCE_SPLIT), "bootstrap_ci": (bootstrap_ci, BOOTSTRAP_CI), "validity_flags": (validity_flags, VALIDITY_FLAGS), "auc_by_center": (auc_by_center, AUC_BY_CENTER),
     "worst_probe_auc": (worst_probe_auc, WORST_PROBE_AUC), "ds_steps": (ds_steps, DS_STEPS), "ds_reliability": (ds_reliability, DS_RELIABILITY), "federated_step": (federated_step, FEDERATED_STEP), "ds_agreement": (ds_agreement, DS_AGREEMENT),
-    "ring_encoding": (ring_encoding, RING_ENCODING), "secure_sum": (secure_sum, SECURE_SUM), "secure_sum_all": (secure_sum_all, SECURE_SUM_ALL), "fed_avg": (_agg(V.fed_avg), FED_AVG), "fed_prox": (_agg(V.fed_prox), FED_AVG), "fed_median": (_agg(V.fed_median), FED_MEDIAN),
+    "ring_encoding": (ring_encoding, RING_ENCODING), "secure_sum": (secure_sum, SECURE_SUM), "fed_avg": (_agg(V.fed_avg), FED_AVG), "fed_prox": (_agg(V.fed_prox), FED_AVG), "fed_median": (_agg(V.fed_median), FED_MEDIAN),
     "trimmed_mean": (_agg(lambda u: V.trimmed_mean(u, 4)), TRIMMED_MEAN), "krum": (_agg(lambda u: V.krum(u, 4)), KRUM), "multi_krum": (_agg(lambda u: V.multi_krum(u, 4, 8)), MULTI_KRUM), "bulyan": (_agg(lambda u: V.bulyan(u, 4)), BULYAN),
     "geometric_median": (_agg(lambda u: V.geometric_median(u, 3)), GEOMETRIC_MEDIAN), "attacks": (attacks, ATTACKS), "server_view": (server_view, SERVER_VIEW), "audit_policies": (audit_policies, AUDIT_POLICIES), "selective_risk": (selective_risk, SELECTIVE_RISK),
-    "audit_outcome": (audit_outcome, AUDIT_OUTCOME), "stratified_delta": (stratified_delta, STRATIFIED_DELTA), "permutation_p": (permutation_p, PERMUTATION_P), "permutation_p_4200": (permutation_p_4200, PERMUTATION_P_4200), "dispersion_index": (dispersion_index, DISPERSION_INDEX),
+    "audit_outcome": (audit_outcome, AUDIT_OUTCOME), "stratified_delta": (stratified_delta, STRATIFIED_DELTA), "permutation_p": (permutation_p, PERMUTATION_P), "dispersion_index": (dispersion_index, DISPERSION_INDEX),
     "glad": (glad, None), "cc_rasch": (cc_rasch, None), "synthetic_corpus": (synthetic_corpus, None), "dp_noise": (dp_noise, None),
 }

@@ -53,32 +53,21 @@ def _shape_rows(spark, d):
 
 
 def gate_null(spark, d):
-    """Does the share of punctuation tell quality better than shuffled labels would? Ten trials."""
+    """Does the share of punctuation tell quality better than shuffled labels would? Twenty trials."""
     rows = _shape_rows(spark, d)
     seen = S.auc(rows, "score", "positive", ["center"]).agg(F.avg("auc").alias("auc"))
-    r = X.against_null(seen, X.null_of_auc(rows, 10), 10)
+    r = X.against_null(seen, X.null_of_auc(rows, 20), 20)
     return r.select(*[F.round(c, 5).alias(c) for c in ("auc", "null_mean", "null_sd", "null_p95")], F.round("z", 2).alias("z"), "significant", "passed")
 
 
 _A = "SELECT {k}center, sum(won)::DOUBLE / (sum(p)::DOUBLE * sum(n)::DOUBLE) AS auc FROM (SELECT {k}center, p, n, p * (sum(n) OVER (PARTITION BY {k}center ORDER BY score) - n + n / 2.0::DOUBLE) AS won FROM (SELECT {k}center, score, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM {t} GROUP BY ALL)) GROUP BY ALL HAVING sum(p) > 0 AND sum(n) > 0"
 GATE_NULL = f"""WITH r AS (SELECT doc_id AS id, lang AS center, round(length(regexp_replace(text, '[^.,;:()/\\-]', '', 'g')) / greatest(length(text), 1)::DOUBLE, 6) AS score, quality = 1 AS positive FROM documents JOIN labels USING (doc_id)),
  k AS (SELECT center, count(*) FILTER (positive) AS k FROM r GROUP BY 1), o AS (SELECT avg(auc) AS auc FROM ({_A.format(k='', t='r')})),
- s AS (SELECT trial, r.center, score, row_number() OVER (PARTITION BY trial, r.center ORDER BY {_H.format("'0:' || trial || ':' || id")}, id) <= k AS positive FROM r JOIN k ON r.center IS NOT DISTINCT FROM k.center CROSS JOIN range(10) t(trial)),
- n AS (SELECT trial, avg(auc) AS auc FROM ({_A.format(k='trial, ', t='s')}) GROUP BY trial), p AS (SELECT auc, row_number() OVER (ORDER BY auc) AS p FROM n), m AS (SELECT avg(auc) AS mean, stddev_samp(auc) AS sd, max(auc) FILTER (p = 9) AS p95 FROM p)
+ s AS (SELECT trial, r.center, score, row_number() OVER (PARTITION BY trial, r.center ORDER BY {_H.format("'0:' || trial || ':' || id")}, id) <= k AS positive FROM r JOIN k ON r.center IS NOT DISTINCT FROM k.center CROSS JOIN range(20) t(trial)),
+ n AS (SELECT trial, avg(auc) AS auc FROM ({_A.format(k='trial, ', t='s')}) GROUP BY trial), p AS (SELECT auc, row_number() OVER (ORDER BY auc) AS p FROM n), m AS (SELECT avg(auc) AS mean, stddev_samp(auc) AS sd, max(auc) FILTER (p = 19) AS p95 FROM p)
  SELECT round(auc, 5) AS auc, round(mean, 5) AS null_mean, round(sd, 5) AS null_sd, round(p95, 5) AS null_p95, round((auc - mean) / sd, 2) AS z, auc > p95 AS significant, auc BETWEEN 0.45 AND 0.55 AS passed FROM o, m"""
 
 
-def gate_null_20(spark, d):
-    """The same with the reference's twenty trials."""
-    rows = _shape_rows(spark, d)
-    seen = S.auc(rows, "score", "positive", ["center"]).agg(F.avg("auc").alias("auc"))
-    r = X.against_null(seen, X.null_of_auc(rows, 20), 20)
-    return r.select(*[F.round(c, 5).alias(c) for c in ("auc", "null_mean", "null_sd", "null_p95")], F.round("z", 2).alias("z"), "significant", "passed")
-
-
-GATE_NULL_20 = GATE_NULL.replace("range(10)", "range(20)").replace("p = 9)", "p = 19)")
-
-
 def gate_probes(spark, d):
     """Fitted probes, each held out by language."""
     f = T.shape(F.col("text"))
@@ -179,7 +168,7 @@ def ledger_records(spark, d):
 LEDGER_RECORDS = _REVIEWS + " SELECT analyst AS analyst_id, count(*) AS n, count(*) AS digests, min('7:' || analyst || ':' || task) AS first FROM reviews GROUP BY analyst"
 
 QUERIES = {
-    "attribution_outcomes": (attribution_outcomes, ATTRIBUTION_OUTCOMES), "leave_one_out": (leave_one_out, None), "triage_scores": (triage_scores, TRIAGE_SCORES), "gate_null": (gate_null, GATE_NULL), "gate_null_20": (gate_null_20, GATE_NULL_20), "gate_probes": (gate_probes, None),
+    "attribution_outcomes": (attribution_outcomes, ATTRIBUTION_OUTCOMES), "leave_one_out": (leave_one_out, None), "triage_scores": (triage_scores, TRIAGE_SCORES), "gate_null": (gate_null, GATE_NULL), "gate_probes": (gate_probes, None),
     "consensus_cliff": (consensus_cliff, CONSENSUS_CLIFF), "blind_cliff": (blind_cliff, BLIND_CLIFF), "school_fleets": (school_fleets, SCHOOL_FLEETS), "decode_stability": (decode_stability, DECODE_STABILITY), "tagged_clearance": (tagged_clearance, TAGGED_CLEARANCE),
     "power": (power, POWER), "latent_slice": (latent_slice, LATENT_SLICE), "compare_sources": (compare_sources, COMPARE_SOURCES), "dig_documents": (dig_documents, DIG_DOCUMENTS), "ledger_records": (ledger_records, LEDGER_RECORDS),
 }
