@@ -68,7 +68,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back through their index."""
+    """Every page written to WARC archives, and each capture looked up in their index and read back."""
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 

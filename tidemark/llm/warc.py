@@ -2,20 +2,20 @@
 
 Pages become WARC/1.1 records, each a gzip member of its own, in one archive a task. Payloads of at least ``least`` bytes
 that are equal are stored once: the page with the largest id is a response, the others are revisits that name it. The
-index has two levels: lines sorted by reversed-host URL key and time in compressed blocks of ``BLOCK`` lines, and a
-sparse directory with the first key and place of each block. A look-up searches the directory by bisection, reads one
-block's range and, for each line that fits, one record's range.
+index has two levels: lines sorted by reversed-host URL key and page in compressed blocks of ``BLOCK`` lines, and a sparse
+directory with the first and last key and the place of each block. Each shard of the index has its part of the directory
+in a file beside it; the shards' own ends, one pair a shard, go to the tasks. A look-up searches the shards and then one
+shard's directory by bisection, reads one block's range and, for each line that fits, one record's range.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import json
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .shared import new_folder, staged
+from .shared import new_folder, staged, tidy
 from .urlrules import host_of
 
 #: Lines in a block of the index.
 BLOCK = 300
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 1000
+#: Payloads that occur more than once which are sent to all tasks; more are joined by digest.
+FEW = 200_000
 
 
 def url_key(url: Column) -> Column:
@@ -107,11 +109,16 @@ def _write(folder: str):
     return run
 
 
+def place_of(key: str, page_id: int | None) -> list:
+    """What the index is sorted by; a null id comes first."""
+    return [key, page_id is not None, page_id or 0]
+
+
 def _index(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         name, out, at, lines = f"{uuid.uuid4().hex}.idx", None, 0, []
-        rows: dict[str, list] = {k: [] for k in ("first", "last", "shard", "place", "size", "lines")}
+        directory: list[list] = []
 
         def flush() -> None:
             nonlocal out, at, lines
@@ -119,8 +126,7 @@ def _index(folder: str):
                 out = store.open_output_stream(f"{base}/{name}", compression=None)
             block = zlib.compress("\n".join(json.dumps(x) for x in lines).encode("utf-8", "surrogatepass"), 6)
             out.write(block)
-            for k, v in zip(rows, (lines[0][0], lines[-1][0], name, at, len(block), len(lines)), strict=True):
-                rows[k].append(v)
+            directory.append([place_of(*lines[0][:2]), place_of(*lines[-1][:2]), at, len(block)])
             at += len(block)
             lines = []
 
@@ -133,23 +139,29 @@ def _index(folder: str):
             flush()
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array(rows[k], pa.string() if i < 3 else pa.int64()) for i, k in enumerate(rows)], list(rows))
+            with store.open_output_stream(f"{base}/{name}.dir", compression=None) as f:
+                f.write(json.dumps(directory).encode("utf-8", "surrogatepass"))
+            ends = [json.dumps(directory[0][0]), json.dumps(directory[-1][1])]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*ends, name, len(directory))], ["first", "last", "shard", "blocks"])
 
     return run
 
 
 @dataclass
 class Archive:
-    """Where the archives and index are; ``directory`` has one row a block."""
+    """Where the archives and index are; ``captures`` has the key and page of each, ``shards`` one row a shard."""
 
     folder: str
-    directory: DataFrame
+    captures: DataFrame
+    shards: DataFrame
 
 
 def write(pages: DataFrame, least: int = LEAST) -> Archive:
     """Archives and index of ``pages`` (page_id, url, html), in the shared folder.
 
-    A null html has an empty payload. Rows that tie for the largest id of a payload are all responses; a null id is a
+    A null html has an empty payload; texts of any length are one record, and other columns are not read. An empty table
+    gives an index without shards. Bodies stay in the tasks that read them unless more than FEW payloads occur twice; then
+    they are joined by digest, from which short ones, which have no copies, stay apart. Rows that tie for the largest id of a payload are all responses; a null id is a
     response unless another row has the payload. A task that is run again writes files of other names; only those of the
     attempt that counted are in the index.
     """
@@ -162,22 +174,40 @@ def write(pages: DataFrame, least: int = LEAST) -> Archive:
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", body.alias("body"), F.sha1(body).alias("digest"))
     known = pages.select(F.col("page_id").cast("bigint").alias("page_id"), body.alias("body")).where(F.octet_length("body") >= least)
     copies = known.select(F.sha1("body").alias("digest"), "page_id").groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    told = rows.join(copies, "digest", "left")
+    copies = staged(copies, "copies")
+    few = copies.limit(FEW + 1).count() <= FEW
+    apart = F.concat(F.lit("~"), F.xxhash64("page_id", "url").cast("string"))  # equals no digest, and spreads
+    key = F.when(F.octet_length("body") >= least, F.col("digest")).otherwise(apart)
+    copies = copies.withColumnRenamed("digest", "same")
+    told = rows.withColumn("payload", key).join(F.broadcast(copies) if few else copies, F.col("payload") == F.col("same"), "left")
     refers = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
-    laid = staged(told.select("page_id", "url", "body", "digest", refers.alias("refers_to"), url_key(F.col("url")).alias("key")).mapInArrow(_write(folder), "key string, page_id bigint, file string, place bigint, size bigint"), "captures")
+    laid = staged(told.select("page_id", "url", "body", "digest", refers.alias("refers_to"), url_key(F.col("url")).alias("key")).mapInArrow(tidy(_write(folder)), "key string, page_id bigint, file string, place bigint, size bigint"), "captures")
     sorted_ = laid.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    directory = sorted_.mapInArrow(_index(folder), "first string, last string, shard string, place bigint, size bigint, lines bigint")
-    return Archive(folder, staged(directory, "directory"))
+    shards = sorted_.mapInArrow(tidy(_index(folder)), "first string, last string, shard string, blocks bigint")
+    return Archive(folder, laid.select("key", "page_id"), staged(shards, "shards"))
 
 
 class Reader:
-    """Look-ups of single URLs. The directory is sparse: one entry for BLOCK captures."""
+    """Look-ups of captures. The directory is sparse: one entry for BLOCK captures; ``shards`` has (first, last, shard)."""
 
-    def __init__(self, folder: str, directory: list[tuple]) -> None:
+    def __init__(self, folder: str, shards: list[tuple]) -> None:
         self.store, self.base = fs.FileSystem.from_uri(folder)
-        self.directory = sorted(directory)
-        self.lasts = [d[1] for d in self.directory]
+        self.shards = sorted((json.loads(a), json.loads(b), name) for a, b, name in shards)
+        self.ends = [s[1] for s in self.shards]
         self.open: dict = {}
+        self.directories: dict[str, tuple[list, list]] = {}
+        self.last: tuple[tuple, list, list] = ((), [], [])
+
+    def directory(self, shard: str) -> tuple[list, list]:
+        """A shard's blocks, and their last keys; those of a few shards are held."""
+        held = self.directories.get(shard)
+        if held is None:
+            if len(self.directories) >= 4:
+                self.directories.clear()
+            with self.store.open_input_stream(f"{self.base}/{shard}.dir", compression=None) as f:
+                blocks = json.loads(f.read().decode("utf-8", "surrogatepass"))
+            held = self.directories[shard] = (blocks, [b[1] for b in blocks])
+        return held
 
     def ranged(self, name: str, place: int, size: int) -> bytes:
         f = self.open.get(name)
@@ -190,45 +220,80 @@ class Reader:
         f.seek(place)
         return f.read(size)
 
-    def block(self, shard: str, place: int, size: int) -> list[list]:
-        return [json.loads(x) for x in zlib.decompress(self.ranged(shard, place, size)).decode("utf-8", "surrogatepass").split("\n")]
+    def block(self, shard: str, place: int, size: int) -> tuple[list, list]:
+        """The lines of a block and what they are sorted by; the last one read is held."""
+        if self.last[0] != (shard, place):
+            lines = [json.loads(x) for x in zlib.decompress(self.ranged(shard, place, size)).decode("utf-8", "surrogatepass").split("\n")]
+            self.last = ((shard, place), lines, [place_of(*x[:2]) for x in lines])
+        return self.last[1], self.last[2]
+
+    def between(self, low: list, high: list) -> Iterator[list]:
+        """The lines from ``low`` to ``high``, by bisection of shards, blocks and lines."""
+        s = bisect_left(self.ends, low)
+        while s < len(self.shards) and self.shards[s][0] <= high:
+            shard = self.shards[s][2]
+            blocks, ends = self.directory(shard)
+            i = bisect_left(ends, low)
+            while i < len(blocks) and blocks[i][0] <= high:
+                lines, places = self.block(shard, *blocks[i][2:])
+                yield from lines[bisect_left(places, low) : bisect_right(places, high)]
+                i += 1
+            s += 1
 
     def lookup(self, key: str) -> list[Capture]:
         """All captures of a URL key, by page id."""
-        out, i = [], bisect_left(self.lasts, key)
-        while i < len(self.directory) and self.directory[i][0] <= key:
-            lines = self.block(*self.directory[i][2:5])
-            keys = [x[0] for x in lines]
-            for x in lines[bisect_left(keys, key) :]:
-                if x[0] != key:
-                    break
-                out.append(parse(self.ranged(*x[2:5])))
-            i += 1
-        return out
-
-
-def _read(folder: str):
+        return [parse(self.ranged(*x[2:5])) for x in self.between([key], [key, 2])]
+
+    def pages(self, key: str, page_id: int | None) -> Iterator[Capture]:
+        """The captures of a URL key that one page made."""
+        at = place_of(key, page_id)
+        return (parse(self.ranged(*x[2:5])) for x in self.between(at, at))
+
+
+def _read(folder: str, shards: list[tuple]):
+    """Rows (key, page_id), each wanted once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(folder, [])
+        reader = Reader(folder, shards)
+        names = ["page_id", "n", "digest", "kind", "refers_to", "claimed"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        rows: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            rows.clear()
+            return out
+
         for batch in batches:
-            for shard, place, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                got = [parse(reader.ranged(*x[2:5])) for x in reader.block(shard, place, size)]
-                # A response is measured anew; a revisit has no payload, its response's figures are joined to it.
-                length = [None if c.payload is None else len(c.payload) for c in got]
-                digest = [None if c.payload is None else hashlib.sha1(c.payload).hexdigest() for c in got]
-                for c, n, d in zip(got, length, digest, strict=True):
-                    if d is not None and (d != c.digest or n != c.length):
-                        raise ValueError("a payload differs from its digest")
-                yield pa.RecordBatch.from_arrays([pa.array([c.page_id for c in got], pa.int64()), pa.array(length, pa.int64()), pa.array(digest, pa.string()), pa.array([c.kind for c in got], pa.string()), pa.array([c.refers_to for c in got], pa.int64()), pa.array([c.digest for c in got], pa.string())], ["page_id", "n", "digest", "kind", "refers_to", "claimed"])
+            for key, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = 0
+                for c in reader.pages(key, page_id):
+                    # A response is measured anew; a revisit has no payload, its response's figures are joined to it.
+                    n = d = None
+                    if c.payload is not None:
+                        n, d = len(c.payload), hashlib.sha1(c.payload).hexdigest()
+                        if (n, d) != (c.length, c.digest):
+                            raise ValueError("a payload differs from its digest")
+                    rows.append((c.page_id, n, d, c.kind, c.refers_to, c.digest))
+                    found += 1
+                    if len(rows) >= 5000:
+                        yield done()
+                if not found:
+                    raise ValueError("a capture is not in the index")
+        yield done()
 
     return run
 
 
 def read(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every capture, read through the index."""
-    blocks = archive.directory.select("shard", "place", "size")
-    n = max(1, min(blocks.count(), 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    got = staged(blocks.repartition(n).mapInArrow(_read(archive.folder), "page_id bigint, n bigint, digest string, kind string, refers_to bigint, claimed string"), "read")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every capture.
+
+    Each pair of key and page is looked up through the index, in ranges of the sorted keys, so that a URL with very many
+    captures is spread over tasks. The ends of the shards, as many as the index had tasks, go to all tasks.
+    """
+    shards = [tuple(r) for r in archive.shards.select("first", "last", "shard").collect()]
+    wanted = archive.captures.distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    got = staged(wanted.mapInArrow(tidy(_read(archive.folder, shards)), "page_id bigint, n bigint, digest string, kind string, refers_to bigint, claimed string"), "read")
     # Only responses that some revisit names are joined, each once.
     named = got.where("kind = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
     full = got.where("kind = 'response'").join(named, "page_id", "left_semi").select(F.col("page_id").alias("to"), F.col("n").alias("full_n"), F.col("digest").alias("full_digest")).distinct()
@@ -238,10 +303,14 @@ def read(archive: Archive) -> DataFrame:
 
 def members(raw: bytes) -> Iterator[bytes]:
     """The gzip members of an archive in order, for readers without an index."""
-    at = io.BytesIO(raw)
-    while at.tell() < len(raw):
-        start, d = at.tell(), zlib.decompressobj(31)
-        d.decompress(raw[start:])
-        end = len(raw) - len(d.unused_data)
-        yield raw[start:end]
-        at.seek(end)
+    at = 0
+    while at < len(raw):
+        start, d = at, zlib.decompressobj(31)
+        while not d.eof:
+            part = raw[at : at + 65_536]
+            if not part:
+                raise ValueError("an archive that ends within a record")
+            d.decompress(part)
+            at += len(part)
+        at -= len(d.unused_data)
+        yield raw[start:at]
