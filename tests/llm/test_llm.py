@@ -295,6 +295,41 @@ def test_mix(spark, docs, none):
     assert mixing.mix(none, narrow=True).count() == 0
 
 
+def test_pareto_order_sampling(spark):
+    """Against brute force, and the frequencies over many seeds against the inclusion probabilities."""
+    rng = np.random.default_rng(3)
+    sizes = [int(n) for n in rng.integers(1, 40, 60)] + [300, 90]  # the largest is certain
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)] + [(100, "w " * 500, "b")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string").withColumns({k: F.lit(1) for k in ("_t", "_f", "_ss", "_wh", "_up", "_s", "_x", "_src")})
+    lack = 700.0
+    rate = next(r for w in sorted(set(sizes), reverse=True) if (r := (lack - sum(x for x in sizes if x > w)) / sum(x * x for x in sizes if x <= w)) * w < 1)
+    p = np.minimum(1, rate * np.array(sizes))
+    assert (p * sizes).sum() == pytest.approx(lack) and (p == 1).sum() == 1
+    counts = spark.createDataFrame([("a", n, k) for n, k in Counter(sizes).items()], "source string, size bigint, k bigint")
+    (got,) = mixing.rates(counts, spark.createDataFrame([("a", lack)], "source string, lack double")).collect()
+    assert got.rate == pytest.approx(rate)
+
+    def sample(lack, p, seed):
+        u = [(int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(len(sizes))]
+        x = u * (1 - p) / (u * (1 - p) + (1 - np.array(u)) * p)
+        order = np.argsort(x)
+        total = np.concatenate([[0], np.cumsum(np.array(sizes)[order])])
+        return set(order[: int(np.abs(total - lack).argmin())].tolist())
+
+    often = np.zeros(len(sizes))
+    for seed in range(2000):
+        often[list(sample(lack, p, seed))] += 1
+    assert np.abs(often / 2000 - p).max() < 0.08 and often[60] == 2000
+    for seed in (17, 18):
+        out = mixing.mix(df, seed=seed, weights=(2, 1), share=1.0)
+        plan = {r.source: r for r in mixing.targets(df.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("source_size")), (2, 1)).collect()}
+        total = sum(sizes)
+        whole, want = divmod(plan["a"].target, total)
+        q = next(r for w in sorted(set(sizes), reverse=True) if (r := (want - sum(x for x in sizes if x > w)) / sum(x * x for x in sizes if x <= w)) * w < 1)
+        more = sample(want, np.minimum(1, q * np.array(sizes)), seed)
+        assert {r.doc_id: r._copies if "_copies" in out.columns else r.copies for r in out.where("source = 'a'").collect()} == {i: int(whole) + (i in more) for i in range(len(sizes))}
+
+
 # --- 7
 
 
@@ -457,21 +492,28 @@ def test_warc(spark):
         twin = h == big and i != 7
         want[i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if twin else "response", 7 if twin else None] += 1
     assert Counter(tuple(r) for r in got) == want
-    reader = warc.Reader(archive.folder, [tuple(r) for r in archive.directory.collect()])
+    reader = warc.Reader(archive.folder, [tuple(r)[:3] for r in archive.shards.collect()])
     key = df.where("page_id = 1").select(warc.url_key(F.col("url")).alias("k")).first().k
     assert key == "com,example,a)/x?b" and {c.page_id for c in reader.lookup(key)} == {1, 2}
     odd = df.where("page_id = 5").select(warc.url_key(F.col("url")).alias("k")).first().k
     [c] = reader.lookup(odd)
     assert (c.url, c.payload) == (rows[4][1], b"x" * 999) and reader.lookup("none") == []
     assert warc.read(warc.write(df.limit(0))).count() == 0
+    few, warc.FEW = warc.FEW, 0  # joined by digest
+    odd = warc.read(warc.write(df.withColumns({k: F.lit(1) for k in ("body", "digest", "top", "same", "key", "payload")}))).collect()
+    warc.FEW = few
+    assert Counter(tuple(r) for r in odd) == want
 
 
 def test_index_blocks_and_lookup(spark):
     df = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 700).cast("string"), F.lit(".org/p")).alias("url"), F.col("id").cast("string").alias("html"))
     archive = warc.write(df)
-    blocks = [tuple(r) for r in archive.directory.collect()]
-    assert sum(b[5] for b in blocks) == 2000 and max(b[5] for b in blocks) <= warc.BLOCK
-    reader = warc.Reader(archive.folder, blocks)
+    shards = [tuple(r) for r in archive.shards.collect()]
+    reader = warc.Reader(archive.folder, [s[:3] for s in shards])
+    lines = [len(reader.block(name, *b[2:])[0]) for *_, name, n in shards for b in reader.directory(name)[0]]
+    assert sum(lines) == 2000 and max(lines) <= warc.BLOCK and len(lines) == sum(s[3] for s in shards) >= 7
+    got = warc.read(archive).collect()  # every look-up goes through the directory
+    assert sorted(r.page_id for r in got) == list(range(2000))
     for k in (0, 1, 99, 699):
         assert {c.page_id for c in reader.lookup(f"org,h{k})/p")} == {i for i in range(2000) if i % 700 == k}
 

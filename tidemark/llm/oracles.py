@@ -20,8 +20,12 @@ OP6 = """WITH z AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array
  l AS (SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM f),
  t AS (SELECT source, ss, least(cap, coalesce(w * (SELECT lev FROM l WHERE lev <= cap / w ORDER BY i LIMIT 1), cap)) AS target FROM l),
  p AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole, greatest(target - CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END * ss, 0) AS lack FROM t),
- d AS (SELECT doc_id, size, ss, target, whole, lack, z.source, lack / ss AS f, (('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source),
- q AS (SELECT *, CASE WHEN f > 0 THEN (u / (1 - u)) / (f / (1 - f)) END AS q FROM d), x AS (SELECT *, q / (1 + q) AS x FROM q),
+ h AS (SELECT z.source, size, lack, size::DOUBLE * size * count(*) AS sq, size * count(*) AS n FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source WHERE size > 0 AND lack > 0 GROUP BY z.source, size, lack),
+ e AS (SELECT source, size, (lack - (sum(n) OVER (PARTITION BY source ORDER BY size DESC) - n)) / sum(sq) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM h),
+ v AS (SELECT source, arg_max(rate, size) AS rate FROM e WHERE rate * size < 1 GROUP BY source),
+ d AS (SELECT doc_id, size, ss, target, whole, lack, z.source, CASE WHEN lack > 0 AND size > 0 THEN least(1.0::DOUBLE, coalesce(rate, 1.0::DOUBLE) * size) END AS f, (('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+ FROM z JOIN p ON z.source IS NOT DISTINCT FROM p.source LEFT JOIN v ON z.source IS NOT DISTINCT FROM v.source),
+ x AS (SELECT *, u * (1 - f) / (u * (1 - f) + (1 - u) * f) AS x FROM d),
  r AS (SELECT source, x, sum(size) OVER (PARTITION BY source ORDER BY x) AS cum, lack FROM x WHERE x IS NOT NULL),
  c AS (SELECT source, x, abs(cum - lack) AS off FROM r UNION ALL SELECT DISTINCT source, -1.0, lack FROM r), b AS (SELECT source, arg_min(x, (off, x)) AS upto FROM c GROUP BY source)
  SELECT doc_id, size, ss AS source_size, round(target, 6) AS target, ((whole + CASE WHEN x <= upto THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM x LEFT JOIN b ON x.source IS NOT DISTINCT FROM b.source"""
