@@ -47,3 +47,40 @@ def op8(rules: list[tuple[str, str, str]]) -> str:
 
 OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
  SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN top IS NOT NULL AND top <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM p LEFT JOIN m USING (h)"""
+
+
+_UNIT = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+
+
+def _word(at: int) -> str:
+    return f"('0x' || substr(h, {8 * at + 1}, 8))::BIGINT"
+
+
+OP11 = f"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_UNIT}') AS u, sha256('42:' || doc_id) AS h FROM documents),
+ c AS (SELECT doc_id, t, u, len(u) AS n, least({_word(0)} % (len(u) + 1), {_word(1)} % (len(u) + 1)) AS a, greatest({_word(0)} % (len(u) + 1), {_word(1)} % (len(u) + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_word(2)} % 100 >= 50 THEN 'plain' WHEN {_word(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+ sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM p"""
+
+_GAP = " + ".join(f"(q[{j}] - e[{j}]) * (q[{j}] - e[{j}])" for j in range(1, 5))
+_MEAN = ", ".join(f"(sum(q[{j}])::BIGINT - ((sum(q[{j}])::BIGINT % count(*)) + count(*)) % count(*)) // count(*)" for j in range(1, 5))
+
+
+def _assigned(name: str, books: str) -> str:
+    return f"""{name} AS (SELECT vec_id, label, part, any_value(q) AS q, arg_min(entry, dist * 64 + entry) AS entry, min(dist) AS dist
+ FROM (SELECT vec_id, label, p.part, q, entry, {_GAP} AS dist FROM p JOIN {books} USING (part)) GROUP BY vec_id, label, part)"""
+
+
+def _refined(name: str, books: str, assigned: str) -> str:
+    return f"""{name} AS (SELECT part, entry, coalesce(m, e) AS e FROM {books} LEFT JOIN (SELECT part, entry, [{_MEAN}] AS m FROM {assigned} GROUP BY part, entry) USING (part, entry))"""
+
+
+#: For vectors of 64 components and unique ids, as the table has them.
+OP12 = f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS (SELECT vec_id, label, i AS part, v[4 * i + 1:4 * i + 4] AS q FROM kept, range(16) r(i)),
+ b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, q AS e FROM p WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+ {_assigned("a1", "b0")}, {_refined("b1", "b0", "a1")}, {_assigned("a2", "b1")}, {_refined("b2", "b1", "a2")}, {_assigned("a3", "b2")},
+ c AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a3 GROUP BY vec_id, label)
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256 FROM c"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, mixing, nearcopies, oracles, packing, quality, urlrules, warc, winnow
+from . import bpe, fim, language, lm, mixing, nearcopies, oracles, packing, quality, toxicity, urlrules, vectorcodes, warc, winnow
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -72,9 +72,31 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document with its pieces put in another order, and of the text restored from that."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding, under codebooks refined over all of them."""
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled ones that aren't held out."""
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ALL = [
+    op1_quality_rules, op2_packing, op3_byte_bpe, op4_winnowing, op5_hyperminhash_dedup, op6_source_mixing, op7_language_id, op8_url_filters, op9_lm_scoring, op10_warc_index, op11_fill_in_middle, op12_vector_codes,
+    op13_toxicity,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_byte_bpe, op4_winnowing, op5_hyperminhash_dedup, op6_source_mixing, op7_language_id, op8_url_filters, op9_lm_scoring, op10_warc_index)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_hyperminhash_dedup": oracles.OP5, "op6_source_mixing": oracles.OP6, "op8_url_filters": oracles.op8(URL_RULES), "op10_warc_index": oracles.OP10}
+    own = {"op5_hyperminhash_dedup": oracles.OP5, "op6_source_mixing": oracles.OP6, "op8_url_filters": oracles.op8(URL_RULES), "op10_warc_index": oracles.OP10}
+    return own | {"op11_fill_in_middle": oracles.OP11, "op12_vector_codes": oracles.OP12}
