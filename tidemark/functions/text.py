@@ -53,6 +53,17 @@ def shape(text: Column) -> dict[str, Column]:
     }
 
 
+def place(value: Column, names: list[str]) -> Column:
+    """The place of a category among its sorted names, as a number; null if it isn't one of them."""
+    at = F.array_position(F.array(*[F.lit(n) for n in sorted(names)]), value)
+    return F.when(at > 0, (at - 1).cast("double"))
+
+
+def report_shape(text: Column, report_type: Column, voice: Column, types: list[str], voices: list[str]) -> dict[str, Column]:
+    """All ten features that a probe of shape may use: those of the text, and the places of report type and voice."""
+    return shape(text) | {"report_type_id": place(report_type, types), "voice_id": place(voice, voices)}
+
+
 def strip_boilerplate(lowered: Column) -> Column:
     for phrase in BOILERPLATE:
         lowered = F.replace(lowered, F.lit(phrase), F.lit(" "))

@@ -63,14 +63,44 @@ def secure_sum(vectors: DataFrame, seed: int = 0, group: list[str] | None = None
     return reveal(shares(vectors, seed, group), group, least)
 
 
-def cohort_sum(vectors: DataFrame, seed: int = 0, group: list[str] | None = None, size: int = COHORT, least: int = LEAST) -> DataFrame:
-    """As ``secure_sum`` of any number of clients: masks cancel within cohorts, whose totals are added up.
+def _streams(seed: int, key: Column, peers: Column, length: Column) -> Column:
+    """For each peer (plus, words): the ring elements that the pair shares, eight coordinates from one hash."""
+    digits = lambda h: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substr(h, 15 * k + 1, F.lit(15)), 16, 10).cast("long"))
+    block = lambda p, j: F.sha2(F.concat_ws(":", F.lit(str(seed)), key, F.least("ident", p), F.greatest("ident", p), j.cast("string")).cast("binary"), 512)
+    words = lambda p: F.flatten(F.transform(F.transform(F.sequence(F.lit(0), F.floor((length - 1) / 8).cast("int")), lambda j: block(p, j)), digits))
+    return F.transform(peers, lambda p: F.struct((F.col("ident") < p).alias("plus"), words(p).alias("words")))
+
 
-    A group is cut into cohorts by a hash of the client, as many as have ``size`` clients or more on average, so the pairs
-    grow with the clients alone. Groups of fewer than twice ``size`` clients are one cohort.
+def cohort_sum(vectors: DataFrame, seed: int = 0, group: list[str] | None = None, size: int = COHORT, least: int = LEAST) -> DataFrame:
+    """Masked sums of any number of clients: (group, coord, total, participants).
+
+    A group is cut into cohorts by a hash of the client, as many as have ``size`` clients or more on average; groups of
+    fewer than twice ``size`` clients are one cohort. In a cohort the clients form a ring and mask with the two next ones
+    on either side, so masks grow with the clients alone; one hash masks eight coordinates. Masks cancel within cohorts,
+    whose totals are added up; a cohort of fewer than ``least`` clients reveals nothing. Vectors of one client in a group
+    are added up before. Null groups are groups, null clients and vectors and empty vectors are left out. Numbers of
+    size up to 3e10 can be summed.
     """
+    from . import federated as R
+
     group = group or []
-    n = vectors.groupBy(*group).agg(F.greatest(F.floor(F.count("*") / size), F.lit(1)).alias("_n"))
-    parted = (vectors.join(n, group) if group else vectors.join(F.broadcast(n))).withColumn("_cohort", F.pmod(F.xxhash64(F.lit(seed), "client"), F.col("_n")))
-    sums = secure_sum(parted.select(*group, "_cohort", "client", "v"), seed, [*group, "_cohort"], least)
-    return sums.groupBy(*group, "coord").agg(F.sum("total").alias("total"), F.sum("participants").alias("participants"))
+    names = [f"_g{i}" for i in range(len(group))]
+    own = vectors.where("client IS NOT NULL AND v IS NOT NULL AND size(v) > 0").select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], F.col("client").cast("string").alias("ident"), "v")
+    # Null and missing groups as one text, so that groups can be joined and hashed.
+    key = F.to_json(F.struct(F.lit(1).alias("g"), *names)).alias("_key")
+    own = own.withColumn("_key", key)
+    n = own.groupBy("_key").agg(F.greatest(F.floor(F.count_distinct("ident") / size), F.lit(1)).alias("_n"), (F.count("*") > F.count_distinct("ident")).alias("_twice"))
+    if n.where("_twice").limit(1).count():
+        at = own.select("_key", *names, "ident", F.posexplode("v").alias("i", "x")).groupBy("_key", *names, "ident", "i").agg(F.sum("x").alias("x"))
+        own = at.groupBy("_key", *names, "ident").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("v"))
+    dealt = own.join(n, "_key").withColumn("_cohort", F.pmod(F.xxhash64(F.lit(seed), "ident"), F.col("_n")))
+    rings = dealt.groupBy("_key", "_cohort").agg(R.ring_of(F.array_sort(F.collect_list("ident"))).alias("ring"))
+    peers = rings.select("_key", "_cohort", F.explode("ring").alias("x")).select("_key", F.col("x.who").alias("ident"), "x.peers")
+    scope = F.concat_ws(":", "_key", F.col("_cohort").cast("string"))
+    rows = dealt.join(peers, ["_key", "ident"]).select(*names, "_key", "_cohort", "ident", "v", _streams(seed, scope, F.col("peers"), F.size("v")).alias("m"))
+    turn = lambda m, i: F.when(m["plus"], F.get(m["words"], i)).otherwise(F.lit(1 << R.RING_BITS) - F.get(m["words"], i))
+    hidden = F.transform("v", lambda x, i: F.aggregate("m", R.encode(x, SCALE), lambda acc, m: R.added(acc, turn(m, i))))
+    sent = rows.select(*names, "_key", "_cohort", F.posexplode(hidden).alias("coord", "share"))
+    cells = sent.groupBy(*names, "_key", "_cohort", "coord").agg(F.count("*").alias("participants"), R.ring_sum(F.col("share")).alias("s")).where(F.col("participants") >= least)
+    sums = cells.groupBy(*names, "coord").agg(F.sum(R.decode(F.col("s"), SCALE)).alias("total"), F.sum("participants").alias("participants"))
+    return sums.select(*[F.col(n).alias(g) for g, n in zip(group, names, strict=True)], "coord", "total", "participants")

@@ -23,14 +23,16 @@ def ladder(fleet: int, rungs: list[str] | None = None) -> list[int]:
     return sorted({at.get(r, round(fleet * (RUNGS[r] or 0.0))) for r in rungs or RUNGS})
 
 
-def fleet_votes(tasks: DataFrame, fleet: int, counts: list[int], slip: float = 0.0, seed: int = 7, blind: bool = False) -> DataFrame:
-    """(n_wrong, task, who, verdict, truth): fleets of which the first n_wrong hold a wrong standard, two facts instead of
-    three, or with ``blind`` don't see one channel. ``tasks`` has task, evidence, seen_evidence."""
+def fleet_votes(tasks: DataFrame, fleet: int, counts: list[int], slip: float = 0.0, seed: int = 7, blind: bool = False, need: int = 3) -> DataFrame:
+    """(n_wrong, task, who, verdict, truth): fleets of which the first n_wrong hold a wrong standard, one fact less than the
+    ``need`` that are true, or with ``blind`` don't see one channel. ``tasks`` has task, evidence, seen_evidence."""
     grid = F.explode(F.array(*[F.struct(F.lit(c).alias("n_wrong"), F.lit(w).alias("who")) for c in counts for w in range(fleet)]))
     rows = tasks.select("task", "evidence", "seen_evidence", grid.alias("g")).select("*", "g.*")
-    wrong = F.col("who") < F.col("n_wrong")
-    own = F.when(wrong, F.col("seen_evidence") >= 3).otherwise(F.col("evidence") >= 3) if blind else F.when(wrong, F.col("evidence") >= 2).otherwise(F.col("evidence") >= 3)
-    return rows.select("n_wrong", "task", "who", (own != (uniform(seed, F.col("n_wrong"), F.col("who"), F.col("task")) < slip)).alias("verdict"), (F.col("evidence") >= 3).alias("truth"))
+    truth = F.col("evidence") >= need
+    standard = F.col("seen_evidence") >= need if blind else F.col("evidence") >= need - 1
+    own = F.when(F.col("who") < F.col("n_wrong"), standard).otherwise(truth)
+    slips = uniform(seed, F.col("n_wrong"), F.col("who"), F.col("task")) < slip
+    return rows.select("n_wrong", "task", "who", (own != slips).alias("verdict"), truth.alias("truth"))
 
 
 def consensus_by_wrong(votes: DataFrame) -> DataFrame:

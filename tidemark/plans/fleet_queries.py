@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as T
 
+from ..operators import channels as C
 from ..operators import governance as G
 from ..operators import inference as I
 from ..operators import linkage as K
@@ -405,16 +406,19 @@ STRATIFIED_DELTA = _VIEW + ", g AS (SELECT evidence, avg(votes / seen::DOUBLE) F
 
 
 def permutation_p(spark, d):
-    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001."""
-    x = S.channel_test(_rates(spark, d).withColumn("rate", F.round("rate", 6)))
-    return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("p", 6).alias("p"), "detected")
-
-
-PERMUTATION_P = _VIEW + """, t AS (SELECT task, evidence, carries, round(votes / seen::DOUBLE, 6) AS rate FROM view), k AS (SELECT evidence, count(*) FILTER (carries) AS k FROM t GROUP BY 1),
- g AS (SELECT evidence, avg(rate) FILTER (carries) - avg(rate) FILTER (NOT carries) AS gap FROM t GROUP BY 1), o AS (SELECT avg(gap) AS delta, count(*) AS strata FROM g WHERE gap IS NOT NULL),
- s AS (SELECT i AS draw, evidence, rate, row_number() OVER (PARTITION BY i, evidence ORDER BY ('0x' || substr(md5('90210:' || i || ':' || task), 1, 8))::BIGINT, task) <= k AS c FROM t JOIN k USING (evidence) CROSS JOIN range(4200) r(i)),
- h AS (SELECT draw, evidence, avg(rate) FILTER (c) - avg(rate) FILTER (NOT c) AS gap FROM s GROUP BY ALL), nul AS (SELECT draw, avg(gap) AS d FROM h WHERE gap IS NOT NULL GROUP BY draw)
- SELECT round(delta, 6) AS delta, strata, round((count(*) FILTER (d <= delta) + 1) / 4201.0::DOUBLE, 6) AS p, (count(*) FILTER (d <= delta) + 1) / 4201.0 < 0.001 AS detected FROM nul CROSS JOIN o GROUP BY delta, strata"""
+    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001. ``level`` is the smallest
+    usual level that the permutation p does not exceed."""
+    x = C.scan(_rates(spark, d).withColumn("rate", F.round("rate", 6)))
+    return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("null_sd", 7).alias("null_sd"), C.level(F.col("p")).alias("level"), "detected")
+
+
+#: The level by the normal tail of the exact moments of the null, which 4,200 draws agree with.
+LEVEL = "CASE WHEN null_sd = 0 THEN 1.0 " + " ".join(f"WHEN delta / null_sd <= {z} THEN {at}" for at, z in C.LEVELS) + " ELSE 1.0 END::DOUBLE AS level"
+#: Of rows t (by, stratum, carries, rate).
+SCAN = """strata_ AS (SELECT {by}stratum, count(*)::DOUBLE AS n, (count(*) FILTER (carries))::DOUBLE AS k, avg(rate) FILTER (carries) - avg(rate) FILTER (NOT carries) AS gap, coalesce(var_samp(rate), 0) AS s2 FROM t GROUP BY ALL HAVING count(*) FILTER (carries) BETWEEN 1 AND count(*) - 1),
+ s AS (SELECT {by}avg(gap) AS delta, count(*) AS strata, sqrt(sum(s2 * n / (k * (n - k)))) / count(*) AS null_sd FROM strata_ GROUP BY ALL)"""
+PERMUTATION_P = _VIEW + f""", t AS (SELECT evidence AS stratum, carries, round(votes / seen::DOUBLE, 6) AS rate FROM view), {SCAN.format(by='')}, l AS (SELECT *, {LEVEL} FROM s)
+ SELECT round(delta, 6) AS delta, strata, round(null_sd, 7) AS null_sd, level, level <= 0.001 AS detected FROM l"""
 
 
 def dispersion_index(spark, d):
