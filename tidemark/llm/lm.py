@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import bpe
-from .shared import clean, mark, staged, tidy
+from .shared import Run, scope, staged, tidy
 
 BLOCK, DIM = 16, 16
 INPUTS, OUTPUTS = 512, 64
@@ -465,11 +465,15 @@ def score(docs: DataFrame, path: str, pattern: str, shard: int = SHARD) -> DataF
     Repeated rows are scored alike, texts of any length as a whole, other columns are not read, and an empty table gives
     an empty result.
     """
+    with scope() as mine:
+        return _scored(docs, path, pattern, shard, mine)
+
+
+def _scored(docs: DataFrame, path: str, pattern: str, shard: int, mine: Run) -> DataFrame:
     ship(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ask = base.select("doc_id", (F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).alias("learned"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id bigint, learned boolean, n_tokens bigint, ids array<int>, words array<binary>, times array<int>"
-    since = mark(docs.sparkSession)
     coded = staged(ask.mapInArrow(tidy(_code(path, pattern)), schema), "coded")
     groups = coded.where("learned IS NULL")
     n_docs = groups.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
@@ -494,7 +498,7 @@ def score(docs: DataFrame, path: str, pattern: str, shard: int = SHARD) -> DataF
     ends = (float(np.log10((n_docs + 0.1) / bottom)), int(n_docs > 0))
     rows = coded.where("learned IS NOT NULL").select("doc_id", "n_tokens", "ids", "words", "times")
     raw = staged(rows.mapInArrow(tidy(_score(flat, table, known, words, logs, *ends)), "uid bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, rare array<binary>, times array<int>, score double"), "scores")
-    clean(docs.sparkSession, since, ("/words-", "/scores-"))  # ids and words of the documents are used up
+    mine.clean(docs.sparkSession, ("/words-", "/scores-"))  # ids and words of the documents are used up
     rare = raw.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     c = F.coalesce("c", F.lit(0))
     joined = rare.join(counts, "word", "left").groupBy("uid").agg(F.sum(F.col("k") * F.log10((c + 0.1) / bottom)).alias("more"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("known"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,36 +12,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder
+
 #: ASCII white space; words are the runs between it.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests) one of our own."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
-    own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+class Run:
+    """What one call has written: nobody else's folders are in it, so calls may run side by side in a session."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+    def clean(self, spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+        """Deletes what the call has written, once it is used up; ``keep`` are parts of names that stay."""
+        for f in [f for f in self.folders if not any(k in f for k in keep)]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.folders.remove(f)
+
+
+_RUN: contextvars.ContextVar[Run | None] = contextvars.ContextVar("run", default=None)
 
 
-def _registered(spark: SparkSession) -> list[str]:
-    sc = spark.sparkContext
-    if not hasattr(sc, "_tidemark_folders"):
-        sc._tidemark_folders = []
-    return sc._tidemark_folders
+@contextlib.contextmanager
+def scope() -> Iterator[Run]:
+    """Inside, what this thread stages is noted in a ``Run`` of its own; what is left at the end goes to the run around it."""
+    own, outer = Run(), _RUN.get()
+    token = _RUN.set(own)
+    try:
+        yield own
+    finally:
+        _RUN.reset(token)
+        if outer is not None:
+            outer.folders.extend(own.folders)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _registered(spark).append(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _RUN.get()) is not None:
+        own.folders.append(path)
     return path
 
 
@@ -51,21 +63,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark(spark: SparkSession) -> int:
-    """How many folders there are; what is written from here on can be given to ``clean``."""
-    return len(_registered(spark))
-
-
-def clean(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Deletes the folders written since a mark, once what was read from them is used up; ``keep`` are parts of names that stay."""
-    folders = _registered(spark)
-    gone = [f for f in folders[since:] if not any(k in f for k in keep)]
-    for f in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        folders.remove(f)
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] = lambda: None) -> Callable:
     """For mapInArrow: when a task ends, the worker that goes on forgets what it remembered and gives memory back."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .shared import fresh, staged, tidy
+from .shared import fresh, scope, staged, tidy
 
 # Terms of identity by kind and language, in each line a neutral term first.
 KINDS = [
@@ -252,6 +252,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 16_384, features:
     ``mentions`` how many sentences of a text with identity terms enter the penalty, ``swap`` the price of a changed score
     (0: plain classifier). Without labels every score is 0; with one class alone no feature stands out.
     """
+    with scope() as mine:
+        model = _learned(docs, labels, per_class, features, least, l2, swap, mentions)
+        mine.clean(docs.sparkSession)  # the model is all that is left of it
+    return model
+
+
+def _learned(docs: DataFrame, labels: DataFrame, per_class: int, features: int, least: float, l2: float, swap: float, mentions: int) -> Model:
     spark = docs.sparkSession
     ship(spark)
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
@@ -276,7 +283,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 16_384, features:
     kept = [r.feature for r in standing.orderBy(F.desc("r"), "feature").limit(features).collect()]
     names = list(dict.fromkeys([*kept, *SWAPS, *sorted(NEUTRAL)]))
     ids = {f: i for i, f in enumerate(names)}
-    made = texts.mapInArrow(tidy(_featured(ids, mentions)), "toxic boolean, own array<int>, before array<array<int>>, after array<array<int>>").orderBy("toxic", "own", "before", "after").collect()
+    made = texts.mapInArrow(tidy(_featured(ids, mentions)), "toxic boolean, own array<int>, before array<array<int>>, after array<array<int>>").collect()
+    made.sort(key=lambda r: (r.toxic, r.own, r.before, r.after))  # sums don't depend on partitions
     y = np.array([r.toxic for r in made], float)
     each = np.where(y == 1, total[True] / n1, total[False] / n0)
     changes = [(p, q) for r in made for p, q in zip(r.before, r.after, strict=True) if p != q]
