@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from tidemark.llm import bpe, language, mixing, nearcopies, quality
 from tidemark.llm.queries import RANKS
-from tidemark.llm.shared import clean, fresh, mark, staged
+from tidemark.llm.shared import fresh, scope, staged
 
 #: A document whose two best languages are closer than this has none.
 LEAST_SCORE = 0.02
@@ -71,10 +71,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage wrote on its way, and the rows that it began with, are deleted when its own rows are there.
     """
-    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark(spark)
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs, f"stage-{i}-{name.replace(' ', '-')}")
-            clean(spark, since, (f"/stage-{i}-",))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with scope() as mine:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(STAGES) - 1:
+                docs = staged(docs, f"stage-{i}-{name.replace(' ', '-')}")
+                mine.clean(spark, (f"/stage-{i}-",))
     return docs
