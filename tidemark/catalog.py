@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import fleet_queries, label_queries, measure_queries, probe_queries, protocol_queries, study_queries
+from .plans import artifact_queries, fleet_queries, label_queries, measure_queries, probe_queries, protocol_queries, study_queries
 
-ALL = label_queries.QUERIES | fleet_queries.QUERIES | study_queries.QUERIES | measure_queries.QUERIES | protocol_queries.QUERIES | probe_queries.QUERIES
+ALL = label_queries.QUERIES | fleet_queries.QUERIES | study_queries.QUERIES | measure_queries.QUERIES | protocol_queries.QUERIES | probe_queries.QUERIES | artifact_queries.QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
