@@ -21,7 +21,7 @@ def artifacts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame
     """
     name = F.regexp_extract("_metadata.file_path", r"artifact=([^/]+)/", 1)
     name = F.when(name != "", name).otherwise(F.regexp_replace("_metadata.file_name", r"\.json$", ""))
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
+    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder, wholetext=True)
     sound = rows.where(F.try_parse_json("value").isNotNull())
     return sound.select(F.url_decode(name).alias("artifact"), F.from_json("value", SCHEMA).alias("j")).select("artifact", "j.*")
 
