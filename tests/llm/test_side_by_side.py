@@ -51,3 +51,46 @@ def test_two_threads_in_one_session(spark):
     for t in threads:
         t.join()
     assert not failed, failed[0]
+
+
+def test_quality_replaces_columns_named_like_results(spark):
+    from tidemark.llm import quality
+
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * 10, "en", 5.0, True, 1) for i in range(5)], "doc_id int, text string, lang string, symbol_share double, kept boolean, n_words int")
+    got = quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality")), keep=["doc_id", "lang", "symbol_share", "kept", "n_words"])
+    assert len(set(got.columns)) == len(got.columns) and {(r.symbol_share, r.n_words) for r in got.collect()} == {(0.0, 50)}
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_large_buckets_are_dealt_to_parts(spark, monkeypatch, hot):
+    """The same classes whether buckets are dealt to parts or not; a chain of near copies and a large group of them."""
+    import random
+
+    from tidemark.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(400):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            t[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(t)
+    texts += [[f"y{i}" for i in range(k, k + 60)] for k in range(0, 30, 3)] + [[f"z{rng.random()}" for _ in range(40)] for _ in range(40)]
+    sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in nearcopies.groups(df, size=4, threshold=0.8).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}

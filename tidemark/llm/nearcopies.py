@@ -9,7 +9,7 @@ are bucket keys: two documents with J = 0.8 miss each other in all bands with pr
 Equal sets are one class. In each bucket the smallest class is a centre, every member is paired with it, pairs are first
 judged by the similarity that the registers estimate, corrected for collisions of compressed registers, and then by the
 full sets. Connected components follow. The documents of buckets that still hold more than one component take their
-rarest shingles for keys (see ``_rare_keys``): under those, members become centres in turn, 64 times as many in each
+rarest shingles for keys (see ``_rare_keys``): under those, members become centres in turn, about 64 times as many in each
 round, and are paired with members of other components, until every key has one component or all its members have been
 centres. So no pair in a bucket is lost, yet a group of near copies costs a few pairs a member. Nothing is capped, and no
 list of documents, links or components comes to the driver.
@@ -33,6 +33,8 @@ M, ROWS = 512, 7
 BANDS = M // ROWS
 ROUNDS = 24
 MANTISSA = 7
+#: A bucket is large if so many ids of a 64th of them are in it; how many large ones are dealt to how many parts.
+HOT, HOT_KEYS, PARTS = 8, 10_000, 64
 _U = np.uint64
 
 
@@ -203,6 +205,12 @@ def _rare_keys(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     return ranked.select("rep", "n", F.posexplode(first).alias("at", "x")).where("x.df > 1").select(F.col("x.h").alias("key"), "rep", "n", "at")
 
 
+def _hot_keys(rows: DataFrame) -> DataFrame:
+    """(key, hot) of large buckets, at most HOT_KEYS, by a sample of the ids. It decides how rows are dealt, not what is found."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "rep"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("hot")).where(F.col("hot") >= HOT)
+    return staged(some.orderBy(F.desc("hot"), "key").limit(HOT_KEYS), "hot")
+
+
 def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -216,11 +224,17 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     # One class for equal sets; its smallest id stands for it from here on.
     classes = staged(known.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = known.join(classes, (known.same == classes.same) & (known.id == classes.rep)).select("rep", "n", "bands", known.same).dropDuplicates(["rep", "same"])
-    # One shuffle by key; a bucket's rows are ids, and sets that are equal have been made one.
-    bucket = Window.partitionBy("key")
+    # One shuffle by key; a bucket's rows are ids, and sets that are equal have been made one. Large buckets are dealt to
+    # parts, each with a centre of its own.
     rows = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    rows = rows.select("key", "rep", "n", F.count("*").over(bucket).alias("members"), F.min("rep").over(bucket).alias("centre"))
-    members = staged(rows.where("members > 1"), "buckets")
+    hot = F.col("hot").isNotNull()
+    rows = rows.join(F.broadcast(_hot_keys(rows)), "key", "left").withColumn("part", F.when(hot, F.pmod(F.xxhash64("rep"), F.lit(PARTS))).otherwise(0))
+    bucket = Window.partitionBy("key", "part")
+    rows = rows.select("key", "rep", "n", hot.alias("hot"), F.count("*").over(bucket).alias("members"), F.min("rep").over(bucket).alias("centre"))
+    members = staged(rows.where("members > 1 OR hot"), "buckets")
+    # The centres of a large bucket's parts are paired with the smallest of them.
+    tops = members.where("hot").groupBy("key").agg(F.min("centre").alias("a"), F.collect_set("centre").alias("b"))
+    tops = tops.select("a", F.explode("b").alias("b")).where("a <> b")
     texts = staged(base.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -231,7 +245,8 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     # Rows that share an id but not a set are linked through their id.
     many = known.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("id")
     through = known.join(many, "id").join(classes, "same").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    stars = staged(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).unionByName(tops)
+    stars = staged(stars.distinct(), "pairs")
     edges = staged(verified(stars).union(through), "links")
     labels = components(edges)
     tried, first, last, top = stars, 0, 1, round(threshold * 100)
@@ -240,13 +255,12 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
         rows = members.select("key", "rep", "n", F.lit(0).alias("at")) if open_ is None else open_
         now = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where(f"lo <> hi AND members > {first}").select("key", "members")
-        now = now.join(mixed, "key")
+        # A member's place in its bucket, from a hash: as many places as members, about one member each.
+        now = now.join(mixed, "key").withColumn("place", F.pmod(F.xxhash64(F.lit("place"), "rep"), F.lit(1 << 40)) / float(1 << 40) * F.col("members"))
         if open_ is None:
             # Documents of unsettled buckets go on with their rarest shingles for keys: purer, and exact.
             open_ = staged(_rare_keys(texts.join(now.where("members > 2").select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), size, threshold), "rare")
             continue
-        if "place" not in now.columns:
-            now = now.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1)
         now = staged(now.select("key", "rep", "n", "at", "place", "component"), "open")
         if now.limit(1).count() == 0:
             break
@@ -261,6 +275,6 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
         if found.limit(1).count():
             edges = staged(edges.union(found), "links")
             labels = components(edges)
-        open_, first, last = now.drop("component"), last, last * 64
+        open_, first, last = now.drop("component", "place"), last, last * 64
     out = marked.join(classes.select("same", "rep"), "same", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))

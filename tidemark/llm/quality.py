@@ -200,9 +200,11 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", keep: list[
     """The measures, rules and verdict of every document; ``docs`` has doc_id, text and the stratum's column.
 
     A document with several labels counts once, as bad if any of them is 0; null ids and null labels count as no label.
-    Documents of an empty table give an empty result.
+    Null, empty and blank texts fail the base, texts of any length are measured as a whole, repeated rows are judged alike,
+    and an empty table gives an empty result. Of ``keep``, columns that are named like a result are replaced by it.
     """
     keep = keep if keep is not None else ["doc_id", stratum]
+    keep = [c for c in keep if c.lower() not in {*RULES, "kept"}]
     rated = staged(add_rules(text_measures(docs, keep=keep)), "quality")
     return apply_rules(rated, learn_cutoffs(rated, labels, stratum, alpha, delta), stratum)
 
