@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -157,13 +158,25 @@ def test_bpe_equals_library(docs, none):
 # --- 4
 
 
+UNITS = regex.compile(winnow.UNIT.replace("{Is", "{"))
+
+
+def test_texts_without_spaces_have_likenesses(spark):
+    rng = np.random.default_rng(3)
+    for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0xE01, 0xE2F))), "ABCDEFGHabcdefgh0123456789+/"):
+        rows = [(i, "".join(rng.choice(list(letters), 400))) for i in range(4)]
+        for r in winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id int, text string")).collect():
+            assert 0.2 < r.near_edited < 0.6 and r.near_next < 0.05
+    assert UNITS.findall("ab " + "x" * 26 + " 中文a b") == ["ab", "x", "x", "x" * 24, "中", "文", "a", "b"]
+
+
 def test_winnowing_chooses_rightmost_minimum(spark, docs):
     got = winnow.add_choices(docs.select("doc_id", "text"), "text", "c").collect()
     h = {}
     for r in winnow.add_choices(docs.select("doc_id", "text"), "text", "c", gram=4, width=1).collect():
         h[r.doc_id, r.text] = [x >> 32 for x in r.c]
     for r in got:
-        g, n = h[r.doc_id, r.text], len(words(r.text))
+        g, n = h[r.doc_id, r.text], len(UNITS.findall((r.text or "").lower()))
         assert len(g) == (max(1, n - 3) if n else 0)
         w = min(8, len(g))
         want = sorted({min(range(i, i + w), key=lambda j: (g[j], -j)) for i in range(len(g) - w + 1)}) if g else []

@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing.
 
-A text's k-grams of words (lower-cased, split at ASCII white space) get rolling polynomial hashes modulo 2^31 - 1. Of
-every window of w consecutive hashes the smallest is chosen, the rightmost among equals, and kept with its position. So
-any run of w + k - 1 words that two texts share leaves a common hash in both fingerprints, and nothing shorter than k
-words does. A text with fewer than k words is one gram, one with fewer than w grams one window; an empty text has an
-empty fingerprint. Equal texts have equal fingerprints. Everything is a DataFrame or SQL function.
+A text is lower-cased and cut into units: runs of other characters than ASCII white space, but single characters in
+scripts that are written without spaces and in runs of more than ``LONGEST`` characters, such as base64. k-grams of units
+get rolling polynomial hashes modulo 2^31 - 1. Of every window of w consecutive hashes the smallest is chosen, the
+rightmost among equals, and kept with its position. So any run of w + k - 1 units that two texts share leaves a common
+hash in both fingerprints, and nothing shorter than k units does. A text with fewer than k units is one gram, one with
+fewer than w grams one window; an empty text has an empty fingerprint. Equal texts have equal fingerprints. Everything is
+a DataFrame or SQL function.
 """
 
 from __future__ import annotations
@@ -14,12 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .quality import rolled
-from .shared import fresh, words
+from .shared import fresh
 
 PRIME = 2**31 - 1
 BASE = 1_000_003
-#: Words in a gram and grams in a window: both powers of two.
+#: Units in a gram and grams in a window: both powers of two.
 GRAM, WIDTH = 4, 8
+#: Longer runs are cut into characters; the last ``LONGEST`` of them stay together.
+LONGEST = 24
+# Scripts without spaces between words.
+UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
+_SCRIPTS = "".join(rf"\p{{Is{s}}}" for s in UNSPACED)
+_SPACED = rf"[^\x20\x09-\x0D{_SCRIPTS}]"
+UNIT = rf"{_SPACED}{{1,{LONGEST}}}+(?!{_SPACED})|[^\x20\x09-\x0D]"
+
+
+def units(text: Column) -> Column:
+    """The units of a text; none of a null one."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.array().cast("array<string>"))
 
 
 def _powers(n: int) -> tuple[int, ...]:
@@ -27,14 +41,14 @@ def _powers(n: int) -> tuple[int, ...]:
 
 
 def add_choices(df: DataFrame, text: str, name: str, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
-    """Adds ``name``: the chosen grams in order of position, each hash * 2^32 + position (of its first word, from 0).
+    """Adds ``name``: the chosen grams in order of position, each hash * 2^32 + position (of its first unit, from 0).
 
     A null text counts as empty and gives an empty array.
     """
     if gram & (gram - 1) or width & (width - 1):
         raise ValueError("gram and width must be powers of two")
     n, h = fresh(df, f"_n_{name}"), fresh(df, f"_h_{name}")
-    df = df.withColumn(h, F.transform(words(F.lower(F.col(text))), lambda x: F.xxhash64(x).bitwiseAND(F.lit(2**62 - 1)) % PRIME))
+    df = df.withColumn(h, F.transform(units(F.lower(F.col(text))), lambda x: F.xxhash64(x).bitwiseAND(F.lit(2**62 - 1)) % PRIME))
     df = df.withColumn(n, F.size(h))
     for k in _powers(gram):  # a gram of 2k words from two of k: H(a b) = H(a) * BASE^k + H(b)
         up = pow(BASE, k, PRIME)
@@ -113,7 +127,9 @@ def next_of(rows: DataFrame, ident: str, carry: list[str], b: str, ghost: str, t
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprint of every whole text and of its edited text (see ``queries.op4_winnowing``), with likenesses.
 
-    Reads doc_id and text; null texts count as empty.
+    Reads doc_id (a number) and text; other columns may have any name. Null texts count as empty; null ids come first, rows of
+    one id follow in the order of their texts, and rows that are equal too in any order, which gives the same rows. Texts
+    of any length are taken whole. A table of one row is edited with itself, an empty one gives an empty result.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows, b, ghost = in_stretches(base, "doc_id")
