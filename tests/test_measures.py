@@ -28,4 +28,6 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "task int, evidence int, seen_evidence int, carries boolean, truth boolean")
     assert tuple(M.class_balance(none, "truth").first()) == (0, 0, 0.0, 0.0)
     assert tuple(M.channel_check(none, 2).first()) == (0, 0.0, 0.0, False)
-    assert M.review_sweep(none, [1], [0.0], [1]).count() == 0 and M.understatement(0.0, 3) is None
+    low = spark.createDataFrame([(0.0,), (0.25,), (1.0,)], "r double").select(M.understatement(F.col("r"), 3).alias("x")).collect()
+    assert [r.x for r in low] == [None, 1.6, 1.0]
+    assert M.review_sweep(none, [1], [0.0], [1]).count() == 0

@@ -241,3 +241,58 @@ def test_content_baseline(spark):
         assert r.auc == pytest.approx(area(np.round(x[te] @ newton(x[tr], y[tr], 1.0, width - 1), 6), y[te] == 1), abs=2e-3)
     with pytest.raises(ValueError):
         N.baseline(df.where("positive"), scratch)
+
+
+# --- difficulty and studies
+
+
+@pytest.mark.parametrize("name", ["glad", "rasch"])
+def test_grouped_steps_equal_the_fit_in_memory(spark, monkeypatch, name):
+    from tidemark.operators import difficulty as Y
+
+    model, fit = {"glad": (Y.Glad, I.fit_glad), "rasch": (Y.Rasch, I.fit_rasch)}[name]
+    monkeypatch.setattr(I, "STEPS", 3)
+    rows = crowd(np.random.default_rng(2), 21, 8)
+    df = spark.createDataFrame([*rows, (None, 1, True), (3, 1, None)], "task int, who int, verdict boolean").repartition(3)
+    tasks, voters, n, done = Y.fit(df, model, max_iters=4, steps=3)
+    t, ti = np.unique([r[0] for r in rows], return_inverse=True)
+    w, wi = np.unique([r[1] for r in rows], return_inverse=True)
+    want = fit(ti, wi, np.array([r[2] for r in rows]), 4, 1e-6)
+    got = {r.task: r for r in tasks.collect()}
+    assert (n, done) == (want["iterations"], want["converged"]) and list(sorted(got)) == t.tolist()
+    assert np.allclose([[got[x].p, got[x].difficulty] for x in t.tolist()], np.stack([want["p"], want["difficulty"]], axis=1), atol=1e-9)
+    able = {r.who: r.ability for r in voters.collect()}
+    assert np.allclose([able[x] for x in w.tolist()], want["ability"], atol=1e-9)
+    none, _, n, done = Y.fit(df.limit(0), model)
+    assert none.count() == 0 and (n, done) == (0, True)
+
+
+def test_conditions_and_the_cliff(spark):
+    from tidemark.operators import studies as Y
+
+    truth = {t: t % 3 != 0 for t in range(30)}
+    rows = [(k, t, w, truth[t] != (w < k)) for k in (0, 2, 3, 5) for t in range(30) for w in range(5)]
+    votes = spark.createDataFrame(rows, "n_wrong int, task int, who int, verdict boolean")
+    known = spark.createDataFrame(list(truth.items()), "task int, truth boolean")
+    out = Y.conditions(votes, known, ["n_wrong"], Scratch(spark, "conditions-test")).cache()
+    got = {r.n_wrong: r for r in out.collect()}
+    assert {k: (r.unweighted, r.oracle, r.consensus, r.dawid_skene, r.kept, r.targets) for k, r in got.items()} == {
+        0: (1.0, 1.0, 1.0, 1.0, 150, 150), 2: (0.6, 1.0, 1.0, 1.0, 90, 150), 3: (0.4, 1.0, 0.0, 0.0, 60, 150), 5: (0.0, None, 0.0, 0.0, 0, 150),
+    }
+    r = Y.cliff_row(out, "n_wrong", 5).first()
+    assert (r.majority, r.cliff_at, r.cliff_is_at_majority, r.consensus_before, r.consensus_at, r.dawid_skene_survives) == (3, 3, True, 1.0, 0.0, False)
+    assert Y.cliff_row(out.where("n_wrong < 3"), "n_wrong", 5).first().cliff_at is None
+    reviews = spark.createDataFrame([(1, 1, "accept", True, None), (1, 2, "revise", True, False), (1, 3, "reject", True, None)], "task int, who int, action string, proposed boolean, corrected boolean")
+    assert sorted(tuple(r) for r in Y.targets(reviews, []).collect()) == [(1, 1, True), (1, 2, False)]
+
+
+def test_winning_rules(spark):
+    from tidemark.operators import studies as Y
+
+    base = "task int, votes long, seen long, posterior double, evidence int, carries boolean, truth boolean, label boolean"
+    rows = lambda wrong, sure: spark.createDataFrame([(i, 9 if sure(i) else 5, 9, 0.99 if sure(i) else 0.55, 1, i % 4 == 0, True, not wrong(i)) for i in range(80)], base)
+    by_channel = Y.winning_rule(rows(lambda i: i % 4 == 0, lambda i: i % 5 > 0), budget=20)
+    assert by_channel["winner"] == "channel" and by_channel["channel"] == 0.0
+    by_margin = Y.winning_rule(rows(lambda i: i % 5 == 1, lambda i: i % 5 != 1), budget=16)
+    assert by_margin["winner"] == "confidence" and by_margin["confidence"] == 0.0
+    assert Y.winning_rule(rows(lambda i: False, lambda i: True))["winner"] is None

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import labels as L
 from ..functions.rng import gauss, hashed, uniform
-from .stats import exact_wrong_majority
 
 
-def assign_fleet(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """(analyst, sens, mask): clearances drawn with replacement from all 64, by a hash of the analyst's number."""
-    h = hashed(seed, "fleet", F.col("id")) % 64
-    return spark.range(n).select(F.format_string("A-%03d", "id").alias("analyst"), F.floor(h / 16).cast("int").alias("sens"), (h % 16).cast("int").alias("mask"))
+def assign_fleet(people: DataFrame, ident: str, seed: int = 7) -> DataFrame:
+    """``people`` with sens and mask: clearances drawn with replacement from all 64, by a hash of ``ident``."""
+    h = hashed(seed, "fleet", F.col(ident)) % 64
+    return people.withColumns({"sens": F.floor(h / 16).cast("int"), "mask": (h % 16).cast("int")})
 
 
 def unmatched(facts: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
@@ -28,9 +30,9 @@ def names_of(mask: Column) -> Column:
     return F.filter(F.transform(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(1 << i).alias("b")) for i, n in enumerate(L.COMPARTMENTS)]), lambda x: F.when(mask.bitwiseAND(x["b"]) != 0, x["n"])), lambda n: n.isNotNull())
 
 
-def subsets(spark: SparkSession) -> DataFrame:
-    """(mask, names): all sets of compartments, the empty one first."""
-    return spark.range(1 << len(L.COMPARTMENTS)).select(F.col("id").cast("int").alias("mask")).withColumn("names", names_of(F.col("mask")))
+def subsets(tasks: DataFrame) -> DataFrame:
+    """(mask, names, tasks): the sets of compartments that tasks have, named, and how many have each."""
+    return tasks.groupBy("mask").agg(F.count("*").alias("tasks")).withColumn("names", names_of(F.col("mask")))
 
 
 def dominance_key(sens: Column, mask: Column, cap: Column | None = None) -> Column:
@@ -133,10 +135,17 @@ def sync_cost(trainable: Column, total: Column) -> dict[str, Column]:
     return {"mib_half": F.when(known, trainable * 2 / 2.0**20), "mib_full": F.when(known, trainable * 4 / 2.0**20), "share": F.when(known, trainable / total)}
 
 
-def understatement(rate: float, fleet: int) -> float | None:
-    """How many times likelier a wrong majority is if the fleet went to one school than if each was wrong alone."""
-    alone = exact_wrong_majority(rate, fleet, fleet)
-    return round(exact_wrong_majority(rate, 1, fleet) / alone, 1) if alone else None
+def wrong_majority(rate: Column, fleet: int) -> Column:
+    """Probability that most of a fleet are wrong, each alone with probability ``rate``."""
+    terms = [math.comb(fleet, k) * F.pow(rate, k) * F.pow(1 - rate, fleet - k) for k in range(fleet // 2 + 1, fleet + 1)]
+    return functools.reduce(lambda a, b: a + b, terms)
+
+
+def understatement(rate: Column, fleet: int) -> Column:
+    """How many times likelier a wrong majority is if the fleet went to one school than if each was wrong alone; null if
+    nobody is ever wrong."""
+    alone = wrong_majority(rate, fleet)
+    return F.when(alone > 0, F.round(rate / alone, 1))
 
 
 def eligibility(labels: DataFrame, ceilings: dict[str, tuple[int, int]], rulings: dict[str, L.Ruling]) -> DataFrame:
@@ -170,9 +179,9 @@ def gap_summary(rows: DataFrame, gap: str, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.median(gap).alias("median_gap"), F.max(gap).alias("max_gap"), F.min(gap).alias("min_gap"), F.sum((F.col(gap) > 0.01).cast("long")).alias("better"))
 
 
-def fleet_gradients(spark: SparkSession, clients: int = 20, dim: int = 100, byzantine: int = 0, seed: int = 42) -> DataFrame:
-    """(client, byzantine, v): a true gradient with a little noise; the first ``byzantine`` clients turn it round, times 1.5."""
-    true = lambda i: gauss(seed, "true", i)
-    bad = F.col("client") < byzantine
-    v = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(bad, true(i) * -1.5).otherwise(true(i) + 0.1 * gauss(seed, "noise", F.col("client"), i)))
-    return spark.range(clients).select(F.col("id").alias("client")).select("client", bad.alias("byzantine"), v.alias("v"))
+def fleet_gradients(updates: DataFrame, one_in: int = 5, seed: int = 42) -> DataFrame:
+    """(client, byzantine, v): each client's update with a little noise; one client ``one_in``, by a hash, turns it round
+    and makes it half as large again."""
+    bad = hashed(seed, "bad", F.col("client")) % one_in == 0
+    v = F.transform("v", lambda x, i: F.when(bad, x * -1.5).otherwise(x + 0.1 * gauss(seed, "noise", F.col("client"), i)))
+    return updates.select("client", bad.alias("byzantine"), v.alias("v"))

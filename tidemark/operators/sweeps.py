@@ -46,10 +46,10 @@ def cliff(cells: DataFrame, safe: float = 0.95) -> DataFrame:
     return cells.agg(F.max(F.when(F.col("accuracy") >= safe, F.col("n_wrong"))).alias("highest_safe"), F.min(F.when(F.col("accuracy") < safe, F.col("n_wrong"))).alias("lowest_broken"))
 
 
-def school_fleets(spark, draws: int, schools: int, fleet: int, rate: float, seed: int = 7) -> DataFrame:
-    """(draw, wrong): how many of a fleet are wrong if schools are wrong as a whole."""
-    rows = spark.range(draws).withColumnRenamed("id", "draw").withColumn("who", F.explode(F.sequence(F.lit(0), F.lit(fleet - 1))))
-    return rows.groupBy("draw").agg(F.sum((uniform(seed, F.col("draw"), F.col("who") % schools) < rate).cast("long")).alias("wrong"))
+def school_fleets(draws: DataFrame, schools: int, fleet: int, rate: float, seed: int = 7) -> DataFrame:
+    """(draw, wrong): how many of a fleet are wrong in each of ``draws`` (draw) if schools are wrong as a whole."""
+    wrong = [F.when(uniform(seed, F.col("draw"), k) < rate, F.lit(len(range(k, fleet, schools)))).otherwise(0) for k in range(schools)]
+    return draws.select("draw", sum(wrong[1:], wrong[0]).cast("long").alias("wrong"))
 
 
 def decode_stability(answers: DataFrame) -> DataFrame:

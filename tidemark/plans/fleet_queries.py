@@ -446,10 +446,10 @@ def cc_rasch(spark, d):
 
 
 def synthetic_corpus(spark, d):
-    """A generated corpus of 400 events."""
-    from ..sources.corpus import generate
+    """A generated corpus of as many events as three documents each make."""
+    from ..sources.corpus import CorpusConfig, generate
 
-    return generate(spark)
+    return generate(spark, CorpusConfig(n_events=max(1, A.table(spark, d, "documents").count() // 3)))
 
 
 def dp_noise(spark, d):

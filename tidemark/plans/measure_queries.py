@@ -18,11 +18,12 @@ _NAMED = f"list_filter(list_transform(range(4), lambda i: CASE WHEN (mask >> i)
 
 
 def assigned_fleet(spark, d):
-    """A thousand clearances drawn with replacement."""
-    return M.assign_fleet(spark, 1000)
+    """Clearances drawn with replacement for all suppliers."""
+    people = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("analyst"))
+    return M.assign_fleet(people, "analyst")
 
 
-ASSIGNED_FLEET = f"SELECT format('A-{{:03d}}', i) AS analyst, (h // 16)::INT AS sens, (h % 16)::INT AS mask FROM (SELECT i, {_H.format(chr(39) + '7:fleet:' + chr(39) + ' || i')} % 64 AS h FROM range(1000) r(i))"
+ASSIGNED_FLEET = f"SELECT analyst, (h // 16)::INT AS sens, (h % 16)::INT AS mask FROM (SELECT s_suppkey AS analyst, {_H.format(chr(39) + '7:fleet:' + chr(39) + ' || s_suppkey')} % 64 AS h FROM supplier)"
 
 
 def label_noise(spark, d):
@@ -44,10 +45,11 @@ UNMATCHED_TERMS = using("reports") + f" SELECT DISTINCT fact FROM (SELECT unnest
 
 
 def compartment_subsets(spark, d):
-    return M.subsets(spark).select("mask", F.array_join("names", ",").alias("names"))
+    """The sets of compartments of tasks, named."""
+    return M.subsets(A.tasks(spark, d)).select("mask", F.array_join("names", ",").alias("names"), "tasks")
 
 
-COMPARTMENT_SUBSETS = f"SELECT mask, array_to_string({_NAMED}, ',') AS names FROM (SELECT i::INT AS mask FROM range(16) r(i))"
+COMPARTMENT_SUBSETS = using("tasks") + f" SELECT mask, array_to_string({_NAMED}, ',') AS names, count(*) AS tasks FROM tasks GROUP BY mask"
 
 
 def dominance_keys(spark, d):
@@ -150,12 +152,16 @@ SYNC_COST = "WITH p AS (SELECT p_partkey, (p_size * 9973)::DOUBLE AS t, (p_partk
 
 
 def understatement(spark, d):
-    """How far independence understates a wrong majority, by rate and size of the fleet."""
-    return spark.createDataFrame([(r, n, M.understatement(r, n)) for r in (0.1, 0.25, 0.4) for n in (3, 5, 9, 15)], "rate double, fleet int, ratio double")
+    """How far independence understates a wrong majority, at each source's share of bad documents, by size of the fleet."""
+    rows = A.table(spark, d, "documents").join(A.table(spark, d, "labels"), "doc_id")
+    rates = rows.groupBy("source").agg(F.avg((F.col("quality") == 0).cast("double")).alias("rate"))
+    cells = F.array(*[F.struct(F.lit(n).alias("fleet"), M.understatement(F.col("rate"), n).alias("ratio")) for n in (3, 5, 9, 15)])
+    return rates.select("source", F.explode(cells).alias("c")).select("source", "c.fleet", "c.ratio")
 
 
-UNDERSTATEMENT = """WITH g AS (SELECT r::DOUBLE AS rate, n::INT AS fleet FROM (VALUES (0.1), (0.25), (0.4)) a(r) CROSS JOIN (VALUES (3), (5), (9), (15)) b(n)), t AS (SELECT rate, fleet, sum(exp(lgamma(fleet + 1) - lgamma(k + 1) - lgamma(fleet - k + 1) + k * ln(rate) + (fleet - k) * ln(1 - rate))) AS p FROM g JOIN range(16) x(k) ON k > fleet // 2 AND k <= fleet GROUP BY ALL)
- SELECT rate, fleet, round(rate / p, 1) AS ratio FROM t"""
+UNDERSTATEMENT = """WITH r AS (SELECT source, avg((quality = 0)::INT) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source), g AS (SELECT source, rate, n::INT AS fleet FROM r CROSS JOIN (VALUES (3), (5), (9), (15)) b(n)),
+ t AS (SELECT source, rate, fleet, sum(round(exp(lgamma(fleet + 1) - lgamma(k + 1) - lgamma(fleet - k + 1)), 0) * pow(rate, k) * pow(1 - rate, fleet - k)) AS p FROM g JOIN range(16) x(k) ON k > fleet // 2 AND k <= fleet GROUP BY ALL)
+ SELECT source, fleet, CASE WHEN p > 0 THEN round(rate / p, 1) END AS ratio FROM t"""
 
 _CEILINGS = {"open": (0, 0), "fleet": (1, 1), "all": (3, 15)}
 _RULINGS = {"keep": L.KEEP, "drop": L.DROP, "protected": L.Ruling(capacities=(0, 1, 2), floor=2, drop=True)}
@@ -195,8 +201,9 @@ GAP_SUMMARY = """WITH g AS (SELECT lang, source, round(avg(((n_chars > 500) = (q
 
 
 def fleet_gradients(spark, d):
-    """Updates of forty clients of which eight turn the gradient round."""
-    return M.fleet_gradients(spark, 40, 16, 8).select("client", "byzantine", F.posexplode("v").alias("coord", "x")).select("client", "byzantine", "coord", F.round("x", 6).alias("x"))
+    """Updates of which one client in five, by a hash, turns its own round."""
+    g = M.fleet_gradients(A.updates(spark, d).select("client", "v"))
+    return g.select("client", "byzantine", F.posexplode("v").alias("coord", "x")).select("client", "byzantine", "coord", F.round("x", 6).alias("x"))
 
 
 _G = "sqrt(-2 * ln(1 - {u1})) * cos(2 * pi() * {u2})"
@@ -206,7 +213,8 @@ def _gauss(key: str) -> str:
     return _G.format(u1=_U.format(f"{key} || ':r'"), u2=_U.format(f"{key} || ':t'"))
 
 
-FLEET_GRADIENTS = f"WITH g AS (SELECT c AS client, c < 8 AS byzantine, i::INT AS coord, {_gauss(chr(39) + '42:true:' + chr(39) + ' || i')} AS t, {_gauss(chr(39) + '42:noise:' + chr(39) + ' || c || ' + chr(39) + ':' + chr(39) + ' || i')} AS e FROM range(40) a(c) CROSS JOIN range(16) b(i)) SELECT client, byzantine, coord, round(CASE WHEN byzantine THEN t * -1.5 ELSE t + 0.1 * e END, 6) AS x FROM g"
+FLEET_GRADIENTS = using("updates") + f""", g AS (SELECT client, {_H.format("'42:bad:' || client")} % 5 = 0 AS byzantine, unnest(v) AS t, unnest(range(len(v)))::INT AS i FROM updates)
+ SELECT client, byzantine, i AS coord, round(CASE WHEN byzantine THEN t * -1.5 ELSE t + 0.1 * {_gauss("'42:noise:' || client || ':' || i")} END, 6) AS x FROM g"""
 
 QUERIES = {
     "assigned_fleet": (assigned_fleet, ASSIGNED_FLEET), "label_noise": (label_noise, LABEL_NOISE), "unmatched_terms": (unmatched_terms, UNMATCHED_TERMS), "compartment_subsets": (compartment_subsets, COMPARTMENT_SUBSETS),

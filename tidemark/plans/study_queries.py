@@ -94,11 +94,11 @@ BLIND_CLIFF = _CLIFF.format("seen_evidence >= 3")
 
 
 def school_fleets(spark, d):
-    """How many of nine are wrong when three schools are wrong as a whole, over two hundred draws."""
-    return W.school_fleets(spark, 200, 3, 9, 0.3)
+    """How many of nine are wrong on each part when three schools are wrong as a whole."""
+    return W.school_fleets(A.table(spark, d, "part").select(F.col("p_partkey").alias("draw")), 3, 9, 0.3)
 
 
-SCHOOL_FLEETS = f"SELECT draw, (count(*) FILTER ({_H.format(chr(39) + '7:' + chr(39) + ' || draw || ' + chr(39) + ':' + chr(39) + ' || who % 3')} / 4294967296.0::DOUBLE < 0.3))::BIGINT AS wrong FROM range(200) a(draw) CROSS JOIN range(9) b(who) GROUP BY draw"
+SCHOOL_FLEETS = f"SELECT p_partkey AS draw, (count(*) FILTER ({_H.format(chr(39) + '7:' + chr(39) + ' || p_partkey || ' + chr(39) + ':' + chr(39) + ' || who % 3')} / 4294967296.0::DOUBLE < 0.3))::BIGINT AS wrong FROM part CROSS JOIN range(9) b(who) GROUP BY p_partkey"
 
 
 def decode_stability(spark, d):

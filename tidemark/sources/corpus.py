@@ -14,6 +14,7 @@ from ..functions.rng import choice, uniform
 from ..functions.text import FACTS, PATTERN
 from .adapters import CHANNELS
 
+# Centers, voices and the columns of a corpus row.
 CENTERS = ["MOC-1", "MOC-2", "MOC-3", "MOC-4"]
 VOICES = ["TERSE", "FORMAL", "NARRATIVE", "CLIPPED"]
 FIELDS = ["report_id", "event_id", "report_type", "center_id", "voice", "vessel_name", "text", "sensitivity", "compartments", "capacity", "is_plant", "fact_ids"]
