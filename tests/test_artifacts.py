@@ -207,3 +207,59 @@ def test_proposals_are_checked_in_one_pass(spark):
     sound = df.where("task IN (0, 1, 3)")
     assert Q.load(sound, tasks, Scratch(spark, "test-proposals"))[0].count() == 2
     assert Q.load(df.limit(0), tasks, Scratch(spark, "test-proposals"))[2]["rows"] == 0
+
+
+# --- cases, scenarios, metadata
+
+CASES = {
+    "ceilings": {"fleet": {"sensitivity": "INTERNAL", "compartments": ["SENSOR"], "capacity": "FREETEXT"}, "open": {"sensitivity": "OPEN", "compartments": [], "capacity": "FREETEXT"}},
+    "policies": {
+        "keep": {"declassifiable": ["ENUM", "SCALAR"], "release_floor": "OPEN", "drop_compartments": False, "prohibited": []},
+        "veto": {"declassifiable": ["ENUM"], "release_floor": "OPEN", "drop_compartments": True, "prohibited": [{"compartment": "LEGAL", "purpose": "training"}]},
+    },
+    "cases": [
+        {"id": i, "label": {"sensitivity": s, "compartments": c, "capacity": k}, "ceiling": top, "policy": p, "purpose": "training", "expected_disposition": d, "expected_reason": r, "verified": True}
+        for i, s, c, k, top, p, d, r in [
+            ("a", "PROTECTED", ["SENSOR"], "ENUM", "fleet", "keep", "release", "RELEASABLE"), ("b", "PROTECTED", ["LEGAL", "SENSOR"], "ENUM", "fleet", "keep", "approval", "COMPARTMENT_NOT_HELD"),
+            ("c", "PROTECTED", ["LEGAL"], "ENUM", "open", "veto", "withhold", "PURPOSE_PROHIBITED"), ("d", "PROTECTED", [], "FREETEXT", "open", "keep", "withhold", "CAPACITY_NOT_DECLASSIFIABLE"), ("e", "OPEN", [], "ENUM", "open", "keep", "withhold", "RELEASABLE"),
+        ]
+    ],
+}
+
+
+def test_cases_are_run_as_written(spark, tmp_path):
+    from tidemark.sources import cases as K
+
+    def told(change=lambda c: None):
+        own = json.loads(json.dumps(CASES))
+        change(own)
+        (tmp_path / "cases.json").write_text(json.dumps(own, indent=1))
+        return K.run(K.load(spark, str(tmp_path / "cases.json")))
+
+    got = {r.id: r for r in told().collect()}
+    assert {i: r.passed for i, r in got.items()} == {"a": True, "b": True, "c": True, "d": True, "e": False} and got["e"].disposition == "release"
+    with pytest.raises(Exception, match="no level: SECRET"):
+        told(lambda c: c["cases"][0]["label"].update(sensitivity="SECRET")).collect()
+    with pytest.raises(K.CaseError, match="no such"):
+        told(lambda c: c["cases"][0].update(policy="none"))
+    with pytest.raises(K.CaseError, match="policy keep"):
+        told(lambda c: c["policies"]["keep"].update(release_floor="LOW"))
+    assert told(lambda c: c.update(cases=[])).count() == 0
+
+
+def test_metadata_names_the_files(spark, tmp_path):
+    import hashlib
+
+    from tidemark.sources import corpus as O
+
+    config = O.CorpusConfig(3, 20)
+    rows, folder = O.generate(spark, config), tmp_path / "corpus"
+    O.write_jsonl(rows, str(folder))
+    told = json.loads(O.croissant(rows, config, folder=str(folder), baseline=0.61, null_mean=0.5))
+    listed = {f["@id"]: f for f in told["distribution"] if f["@type"] == "cr:FileObject"}
+    there = {p.name: p.read_bytes() for p in folder.glob("part-*")}
+    assert {k: f["sha256"] for k, f in listed.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in there.items()} and all(f["contentUrl"] and f["contentSize"] for f in listed.values())
+    assert "0.6100" in told["rai:dataAnnotationAnalysis"] and "0.5000" in told["rai:dataAnnotationAnalysis"]
+    (tmp_path / "b.toml").write_text("")
+    (tmp_path / "a.toml").write_text("")
+    assert D.available(str(tmp_path)) == ["a", "b"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import string
 import tomllib
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,11 @@ def load_scenario(path: str) -> dict[str, Any]:
         return validate(tomllib.load(f))
 
 
+def available(folder: str) -> list[str]:
+    """Names of the scenarios in a folder, in order."""
+    return sorted(p.stem for p in Path(folder).glob("*.toml"))
+
+
 def dimensions(spark: SparkSession, s: dict[str, Any]) -> dict[str, DataFrame]:
     """Facts and channels of a scenario as tables."""
     return {

@@ -98,12 +98,44 @@ def manifest(corpus: DataFrame, config: CorpusConfig) -> dict:
     return {"seed": config.seed, "n_events": config.n_events, "n_reports": head.n, "plant_share": head.plants, "labels": {r[0]: r[1] for r in corpus.groupBy(label.alias("k")).count().orderBy("k").collect()}, "digest": digest(corpus).first().digest}
 
 
-def croissant(corpus: DataFrame, config: CorpusConfig, filename: str = "corpus.jsonl") -> str:
-    """Croissant 1.0 metadata as JSON-LD."""
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, bytes, sha256) of the files that hold a written corpus; each is hashed where it is read (2 GB at most)."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).orderBy("name")
+
+
+def rai_block(m: dict, baseline: float | None = None, null_mean: float | None = None) -> dict[str, str]:
+    """Statements on how the data came about, with the figures that a reader can check: the gate's among them."""
+    told = "has not been run" if baseline is None else f"gives {baseline:.4f}" + ("" if null_mean is None else f", and {null_mean:.4f} on shuffled labels")
+    return {
+        "rai:dataCollection": f"Generated from seed {m['seed']} over {m['n_events']} events; nothing was collected, and the same seed gives the same rows.",
+        "rai:dataCollectionType": "Synthetic; no people are described.",
+        "rai:dataCollectionMissingData": "None: every field of every row is written when it is generated.",
+        "rai:dataAnnotationProtocol": "Labels follow from the channel that a report came by; an event is significant if its facts hold the whole pattern.",
+        "rai:dataAnnotationAnalysis": f"A probe that sees the shape of texts alone, each center held out, {told}. {m['plant_share']:.4f} of the reports are significant.",
+        "rai:dataPreprocessingProtocol": "None: rows are written as they are generated, one JSON object a line.",
+        "rai:dataBiases": "Texts are made of a fixed vocabulary of facts, and shapes differ by channel; judge a score against that of the probe.",
+        "rai:dataUseCases": "Measuring how labels travel through triage, review and aggregation. Not for statements about real events.",
+    }
+
+
+def croissant(corpus: DataFrame, config: CorpusConfig, filename: str = "corpus.jsonl", folder: str | None = None, baseline: float | None = None, null_mean: float | None = None) -> str:
+    """Croissant 1.0 metadata as JSON-LD, with a block on how the data came about.
+
+    With ``folder``, where the corpus was written, each of its files is listed with its own hash, size and place; else one
+    file is named, with the digest of the rows.
+    """
     kinds = {"string": "sc:Text", "boolean": "sc:Boolean", "array<string>": "sc:Text"}
     m = manifest(corpus, config)
-    fields = [{"@type": "cr:Field", "@id": f"reports/{n}", "name": n, "dataType": kinds[t], "repeated": t.startswith("array"), "source": {"fileObject": {"@id": filename}, "extract": {"jsonPath": f"$.{n}"}}} for n, t in corpus.dtypes]
-    return json.dumps({"@context": {"@vocab": "https://schema.org/", "cr": "http://mlcommons.org/croissant/", "sc": "https://schema.org/"}, "@type": "sc:Dataset", "name": f"reports-{config.seed}", "conformsTo": "http://mlcommons.org/croissant/1.0", "distribution": [{"@type": "cr:FileObject", "@id": filename, "encodingFormat": "application/jsonlines", "sha256": m["digest"]}], "recordSet": [{"@type": "cr:RecordSet", "@id": "reports", "field": fields}], "manifest": m}, indent=1)
+    found = [] if folder is None else files(corpus.sparkSession, folder).collect()
+    shown = [{"@type": "cr:FileObject", "@id": f.name, "name": f.name, "contentUrl": f.name, "contentSize": f"{f.bytes} B", "encodingFormat": "application/jsonlines", "sha256": f.sha256} for f in found]
+    shown = shown or [{"@type": "cr:FileObject", "@id": filename, "name": filename, "contentUrl": filename, "encodingFormat": "application/jsonlines", "sha256": m["digest"]}]
+    source = {"fileSet": {"@id": "parts"}} if found else {"fileObject": {"@id": filename}}
+    if found:
+        shown.append({"@type": "cr:FileSet", "@id": "parts", "encodingFormat": "application/jsonlines", "includes": "part-*"})
+    fields = [{"@type": "cr:Field", "@id": f"reports/{n}", "name": n, "dataType": kinds[t], "repeated": t.startswith("array"), "source": {**source, "extract": {"jsonPath": f"$.{n}"}}} for n, t in corpus.dtypes]
+    head = {"@context": {"@vocab": "https://schema.org/", "cr": "http://mlcommons.org/croissant/", "rai": "http://mlcommons.org/croissant/RAI/", "sc": "https://schema.org/"}, "@type": "sc:Dataset", "name": f"reports-{config.seed}", "conformsTo": "http://mlcommons.org/croissant/1.0"}
+    return json.dumps({**head, "distribution": shown, "recordSet": [{"@type": "cr:RecordSet", "@id": "reports", "field": fields}], **rai_block(m, baseline, null_mean), "manifest": m}, indent=1)
 
 
 def sha256(payload: bytes) -> str:
