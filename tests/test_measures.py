@@ -31,3 +31,31 @@ def test_no_rows(spark):
     low = spark.createDataFrame([(0.0,), (0.25,), (1.0,)], "r double").select(M.understatement(F.col("r"), 3).alias("x")).collect()
     assert [r.x for r in low] == [None, 1.6, 1.0]
     assert M.review_sweep(none, [1], [0.0], [1]).count() == 0
+
+
+def test_channels_are_refused(spark):
+    rows = [(1, 2, 1, True), (2, 2, 2, False), (3, 1, 1, False)]
+    tasks = spark.createDataFrame(rows, "task int, evidence int, seen_evidence int, carries boolean")
+    assert M.assert_channel_usable(tasks, 2).first().affected == 1
+    with pytest.raises(M.ChannelUnusable, match="no verdict"):
+        M.assert_channel_usable(tasks.withColumn("seen_evidence", F.col("evidence")), 2)
+    with pytest.raises(M.ChannelUnusable, match="2.00 on tasks"):
+        M.assert_channel_usable(tasks, 2, slack=0.1)
+
+
+def test_examples(spark):
+    from tidemark.operators import examples as X
+
+    reports = spark.createDataFrame([(2, 1, ["a"], "two"), (1, 1, ["b", "c"], "one"), (3, 2, ["a", "b", "a"], None)], "report_id int, event_id int, fact_ids array<string>, text string")
+    targets = X.world_targets(reports, ["a", "b", "c"])
+    assert {r.task: r.target for r in targets.collect()} == {1: True, 2: False}
+    got = {r.task: (r.prompt, r.completion) for r in X.build(reports, targets, "p", "say").collect()}
+    assert got == {1: ("[1] one\n\n[2] two\n\nsay", "SIGNIFICANT"), 2: ("[1] \n\nsay", "ROUTINE")}
+    tasks = spark.range(4000).select(F.col("id").alias("task"), (F.col("id") % 4).cast("int").alias("evidence"))
+    for name, k, slip in (("t2s0", 2, 0.0), ("t3s0.25", 3, 0.25)):
+        t = X.Teacher.named(name)
+        wrong = X.review_targets(tasks, t).join(tasks, "task").agg(F.avg((F.col("target") != (F.col("evidence") >= k)).cast("double"))).first()[0]
+        assert (t.threshold, t.slip) == (k, slip) and abs(wrong - slip) < 0.03
+    for bad in ("t4s0", "t2", "t2s1", "careful"):
+        with pytest.raises(ValueError):
+            X.Teacher.named(bad)

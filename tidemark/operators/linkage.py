@@ -195,3 +195,9 @@ def participation(fleet: DataFrame, tasks: DataFrame, keep: float, fabricate: fl
 
 def value_noise(stream: DataFrame, flip: float, seed: int = 7) -> DataFrame:
     return stream.withColumn("verdict", F.col("verdict") != (uniform(seed, F.col("who"), F.col("task")) < flip))
+
+
+def link_trials(links: DataFrame) -> DataFrame:
+    """(task, outcome): one trial an analyst, whether they were named exactly. Analysts are the clusters: tasks are shared by
+    the whole fleet, so drawing tasks anew would draw the same people many times. Silent ones are not named."""
+    return links.select(F.col("analyst").alias("task"), F.col("exact").alias("outcome"))

@@ -174,6 +174,21 @@ def channel_check(tasks: DataFrame, threshold: int, slack: float = 0.5) -> DataF
     return x.withColumn("usable", (F.col("affected") > 0) & (F.abs(F.col("mean_with") - F.col("mean_without")) <= slack))
 
 
+class ChannelUnusable(ValueError):
+    """A corpus on which the blind spot of a channel can't be measured."""
+
+
+def assert_channel_usable(tasks: DataFrame, threshold: int, slack: float = 0.5) -> DataFrame:
+    """The row of ``channel_check``; ChannelUnusable where no verdict depends on the channel, or where the tasks that carry
+    it differ from others in evidence by more than ``slack``: a blind spot would be mistaken for difficulty."""
+    r = channel_check(tasks, threshold, slack).first()
+    if not r.affected:
+        raise ChannelUnusable("no verdict changes without the channel")
+    if not r.usable:
+        raise ChannelUnusable(f"evidence is {r.mean_with:.2f} on tasks that carry the channel and {r.mean_without:.2f} on others")
+    return tasks.sparkSession.createDataFrame([r])
+
+
 def gap_summary(rows: DataFrame, gap: str, by: list[str]) -> DataFrame:
     """n, median, most and least of a gap, and how many exceed a hundredth."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.median(gap).alias("median_gap"), F.max(gap).alias("max_gap"), F.min(gap).alias("min_gap"), F.sum((F.col(gap) > 0.01).cast("long")).alias("better"))

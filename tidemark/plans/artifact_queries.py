@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions.rng import uniform
 from ..functions.text import PATTERN
+from ..operators import examples as X
+from ..operators import linkage as K
 from ..operators import prefixes as P
 from ..operators import slices as Z
+from ..operators import stats as S
 from ..operators import sweeps as W
 from ..scratch import Scratch
 from ..sources import adapters as A
@@ -17,6 +21,7 @@ from ..sources import grids as G
 from ..sources import ledgers as E
 from ..sources import proposals as Q
 from ..sources.adapters import using
+from .fleet_queries import LINK_JACCARD
 from .study_queries import _REVIEWS, _reviews
 
 _H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -212,7 +217,41 @@ def refused_proposals(spark, d):
 
 REFUSED_PROPOSALS = _PROPOSALS + " SELECT task, seq, reason, count(*) OVER (PARTITION BY reason) AS observed FROM m WHERE reason IS NOT NULL"
 
+
+def event_significance(spark, d):
+    """Events whose reports tell the whole pattern, half of the reports given one fact of it more."""
+    r = A.reports(spark, d).withColumn("fact_ids", F.when(F.col("report_id") % 2 == 0, F.array_union("fact_ids", F.array(*[F.lit(p) for p in PATTERN[:2]]))).otherwise(F.col("fact_ids")))
+    return X.world_targets(r, PATTERN)
+
+
+EVENT_SIGNIFICANCE = using("reports") + f""", r AS (SELECT event_id, CASE WHEN report_id % 2 = 0 THEN list_concat(fact_ids, {PATTERN[:2]}) ELSE fact_ids END AS f FROM reports)
+ SELECT event_id AS task, len(list_intersect(list_distinct(flatten(list(f))), {PATTERN})) = 3 AS target FROM r GROUP BY event_id"""
+
+
+def training_examples(spark, d):
+    """Digests of prompts and the completions that three teachers give."""
+    reports, tasks, out = A.reports(spark, d), A.tasks(spark, d), None
+    for name in ("t1s0", "t1s0.25", "t2s0.5"):
+        e = X.build(reports, X.review_targets(tasks, X.Teacher.named(name))).select("task", F.lit(name).alias("teacher"), F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt"), "completion")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+TRAINING_EXAMPLES = using("tasks") + f""", p AS (SELECT event_id AS task, list(coalesce(text, '') ORDER BY report_id) AS t FROM reports GROUP BY event_id), g AS (SELECT * FROM (VALUES ('t1s0', 1, 0.0), ('t1s0.25', 1, 0.25), ('t2s0.5', 2, 0.5)) g(teacher, k, slip))
+ SELECT task, teacher, sha256(array_to_string(list_concat(list_transform(range(1, len(t) + 1), lambda i: '[' || i || '] ' || t[i]), ['{X.INSTRUCTION}']), chr(10) || chr(10))) AS prompt,
+ CASE WHEN (evidence >= k) <> ({_H.format("'7:' || teacher || ':' || task")} / 4294967296.0::DOUBLE < slip) THEN 'SIGNIFICANT' ELSE 'ROUTINE' END AS completion FROM tasks JOIN p USING (task) CROSS JOIN g"""
+
+
+def linkage_rate(spark, d):
+    """Share of analysts whom the linkage attack names exactly, one trial each."""
+    links = K.link_open(A.clearances(spark, d), A.part_tasks(spark, d), L.KEEP, (0, 1))
+    return S.rates(K.link_trials(links)).select(F.round("single_run_rate", 6).alias("single_run_rate"), F.round("consensus_rate", 6).alias("consensus_rate"))
+
+
+LINKAGE_RATE = f"SELECT round(avg(exact::INT), 6) AS single_run_rate, round(avg(exact::INT), 6) AS consensus_rate FROM ({LINK_JACCARD})"
+
 QUERIES = {
+    "event_significance": (event_significance, EVENT_SIGNIFICANCE), "training_examples": (training_examples, TRAINING_EXAMPLES), "linkage_rate": (linkage_rate, LINKAGE_RATE),
     "balanced_slice": (balanced_slice, BALANCED_SLICE), "latent_cliff": (latent_cliff, LATENT_CLIFF), "saturation": (saturation, SATURATION), "event_claims": (event_claims, EVENT_CLAIMS_SQL),
     "event_argument": (event_argument, EVENT_ARGUMENT), "turn_claims": (turn_claims, TURN_CLAIMS_SQL), "artifact_grid": (artifact_grid, ARTIFACT_GRID), "artifact_twins": (artifact_twins, ARTIFACT_TWINS),
     "ledger_batches": (ledger_batches, LEDGER_BATCHES), "accepted_proposals": (accepted_proposals, ACCEPTED_PROPOSALS), "refused_proposals": (refused_proposals, REFUSED_PROPOSALS),
