@@ -406,19 +406,18 @@ STRATIFIED_DELTA = _VIEW + ", g AS (SELECT evidence, avg(votes / seen::DOUBLE) F
 
 
 def permutation_p(spark, d):
-    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001. ``level`` is the smallest
-    usual level that the permutation p does not exceed."""
+    """The channel test with the operator's 4,200 draws, which can fall below its alpha of 0.001, and the null's exact spread."""
     x = C.scan(_rates(spark, d).withColumn("rate", F.round("rate", 6)))
-    return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("null_sd", 7).alias("null_sd"), C.level(F.col("p")).alias("level"), "detected")
+    return x.select(F.round("delta", 6).alias("delta"), "strata", F.round("null_sd", 7).alias("null_sd"), "detected")
 
 
-#: The level by the normal tail of the exact moments of the null, which 4,200 draws agree with.
-LEVEL = "CASE WHEN null_sd = 0 THEN 1.0 " + " ".join(f"WHEN delta / null_sd <= {z} THEN {at}" for at, z in C.LEVELS) + " ELSE 1.0 END::DOUBLE AS level"
+#: Detection by the normal tail of the null's exact moments; draws agree with it except very near the threshold.
+FOUND = "coalesce(delta / nullif(null_sd, 0) <= -3.090232306167813, false) AS detected"
 #: Of rows t (by, stratum, carries, rate).
 SCAN = """strata_ AS (SELECT {by}stratum, count(*)::DOUBLE AS n, (count(*) FILTER (carries))::DOUBLE AS k, avg(rate) FILTER (carries) - avg(rate) FILTER (NOT carries) AS gap, coalesce(var_samp(rate), 0) AS s2 FROM t GROUP BY ALL HAVING count(*) FILTER (carries) BETWEEN 1 AND count(*) - 1),
  s AS (SELECT {by}avg(gap) AS delta, count(*) AS strata, sqrt(sum(s2 * n / (k * (n - k)))) / count(*) AS null_sd FROM strata_ GROUP BY ALL)"""
-PERMUTATION_P = _VIEW + f""", t AS (SELECT evidence AS stratum, carries, round(votes / seen::DOUBLE, 6) AS rate FROM view), {SCAN.format(by='')}, l AS (SELECT *, {LEVEL} FROM s)
- SELECT round(delta, 6) AS delta, strata, round(null_sd, 7) AS null_sd, level, level <= 0.001 AS detected FROM l"""
+PERMUTATION_P = _VIEW + f""", t AS (SELECT evidence AS stratum, carries, round(votes / seen::DOUBLE, 6) AS rate FROM view), {SCAN.format(by='')}, l AS (SELECT *, {FOUND} FROM s)
+ SELECT round(delta, 6) AS delta, strata, round(null_sd, 7) AS null_sd, detected FROM l"""
 
 
 def dispersion_index(spark, d):
