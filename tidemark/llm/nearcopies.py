@@ -33,8 +33,8 @@ M, ROWS = 512, 7
 BANDS = M // ROWS
 ROUNDS = 24
 MANTISSA = 7
-#: A bucket is large if so many ids of a 64th of them are in it; how many large ones are dealt to how many parts.
-HOT, HOT_KEYS, PARTS = 8, 10_000, 64
+#: A bucket is large if so many ids of a 64th of them are in it; how many large ones are told apart.
+HOT, HOT_KEYS = 8, 10_000
 _U = np.uint64
 
 
@@ -206,9 +206,11 @@ def _rare_keys(texts: DataFrame, size: int, threshold: float) -> DataFrame:
 
 
 def _hot_keys(rows: DataFrame) -> DataFrame:
-    """(key, hot) of large buckets, at most HOT_KEYS, by a sample of the ids. It decides how rows are dealt, not what is found."""
-    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "rep"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("hot")).where(F.col("hot") >= HOT)
-    return staged(some.orderBy(F.desc("hot"), "key").limit(HOT_KEYS), "hot")
+    """(key, members, centre) of large buckets, at most HOT_KEYS, found in a sample of the ids but counted in full. It decides
+    how rows are dealt, not what is found."""
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "rep"), F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") >= HOT)
+    keys = staged(some.orderBy(F.desc("seen"), "key").limit(HOT_KEYS).select("key"), "hot")
+    return staged(rows.join(F.broadcast(keys), "key").groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("centre")), "hot")
 
 
 def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -224,17 +226,16 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     # One class for equal sets; its smallest id stands for it from here on.
     classes = staged(known.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = known.join(classes, (known.same == classes.same) & (known.id == classes.rep)).select("rep", "n", "bands", known.same).dropDuplicates(["rep", "same"])
-    # One shuffle by key; a bucket's rows are ids, and sets that are equal have been made one. Large buckets are dealt to
-    # parts, each with a centre of its own.
+    # One shuffle by key; a bucket's rows are ids, and sets that are equal have been made one. Large buckets are told apart
+    # first, and counted by partial sums instead.
     rows = reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    hot = F.col("hot").isNotNull()
-    rows = rows.join(F.broadcast(_hot_keys(rows)), "key", "left").withColumn("part", F.when(hot, F.pmod(F.xxhash64("rep"), F.lit(PARTS))).otherwise(0))
-    bucket = Window.partitionBy("key", "part")
-    rows = rows.select("key", "rep", "n", hot.alias("hot"), F.count("*").over(bucket).alias("members"), F.min("rep").over(bucket).alias("centre"))
-    members = staged(rows.where("members > 1 OR hot"), "buckets")
-    # The centres of a large bucket's parts are paired with the smallest of them.
-    tops = members.where("hot").groupBy("key").agg(F.min("centre").alias("a"), F.collect_set("centre").alias("b"))
-    tops = tops.select("a", F.explode("b").alias("b")).where("a <> b")
+    hot = _hot_keys(rows)
+    known_hot = F.broadcast(hot.select("key", "members", "centre"))
+    large = rows.join(known_hot, "key").select("key", "rep", "n", "members", "centre")
+    bucket = Window.partitionBy("key")
+    small = rows.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    small = small.select("key", "rep", "n", F.count("*").over(bucket).alias("members"), F.min("rep").over(bucket).alias("centre"))
+    members = staged(small.unionByName(large).where("members > 1"), "buckets")
     texts = staged(base.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -245,8 +246,7 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     # Rows that share an id but not a set are linked through their id.
     many = known.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("id")
     through = known.join(many, "id").join(classes, "same").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).unionByName(tops)
-    stars = staged(stars.distinct(), "pairs")
+    stars = staged(members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     edges = staged(verified(stars).union(through), "links")
     labels = components(edges)
     tried, first, last, top = stars, 0, 1, round(threshold * 100)
@@ -254,9 +254,10 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     while True:
         rows = members.select("key", "rep", "n", F.lit(0).alias("at")) if open_ is None else open_
         now = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where(f"lo <> hi AND members > {first}").select("key", "members")
-        # A member's place in its bucket, from a hash: as many places as members, about one member each.
-        now = now.join(mixed, "key").withColumn("place", F.pmod(F.xxhash64(F.lit("place"), "rep"), F.lit(1 << 40)) / float(1 << 40) * F.col("members"))
+        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("rep").alias("top")).where(f"lo <> hi AND members > {first}").select("key", "members", "top")
+        # The smallest member is first in its bucket; the others have places from a hash, about one member each.
+        u = F.pmod(F.xxhash64(F.lit("place"), "rep"), F.lit(1 << 40)) / float(1 << 40)
+        now = now.join(mixed, "key").withColumn("place", F.when(F.col("rep") == F.col("top"), 0.0).otherwise(1 + u * (F.col("members") - 1)))
         if open_ is None:
             # Documents of unsettled buckets go on with their rarest shingles for keys: purer, and exact.
             open_ = staged(_rare_keys(texts.join(now.where("members > 2").select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), size, threshold), "rare")
