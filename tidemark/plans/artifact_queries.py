@@ -209,7 +209,7 @@ ACCEPTED_PROPOSALS = _PROPOSALS + " SELECT task, verdict, 0 AS sens, mask FROM m
 
 
 def refused_proposals(spark, d):
-    """Rows that were not taken and why, beside the counts that the pass observed."""
+    """Rows that were not taken and why, beside the counts of the pass."""
     _, left, counts = Q.load(*_proposals(spark, d), Scratch(spark, "refused"), strict=False)
     seen = F.coalesce(*[F.when(F.col("reason") == r, F.lit(counts[r])) for r in Q.REASONS]).cast("long")
     return left.select("task", F.col("seq").cast("long").alias("seq"), "reason", seen.alias("observed"))

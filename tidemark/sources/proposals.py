@@ -1,8 +1,8 @@
-"""Checked ingest of a model's verdicts: one pass gives accepted rows, refused rows and their counts."""
+"""Checked ingest of a model's verdicts: one pass marks rows as taken or refused; rows, reasons and counts come from it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -35,11 +35,14 @@ def checked(rows: DataFrame, tasks: DataFrame) -> DataFrame:
     return both.withColumn("reason", why).drop("_task", "_truth")
 
 
-def observed(marked: DataFrame, name: str = "proposals") -> tuple[DataFrame, Observation]:
-    """The same rows; once they have been written, the observation holds their number by reason, and of those taken."""
-    seen = Observation(name)
-    counts = [F.count_if(F.col("reason") == r).alias(r) for r in REASONS]
-    return marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("reason").isNull()).alias("taken"), *counts), seen
+def tally(kept: DataFrame) -> dict[str, int]:
+    """Rows by reason, those taken, and all; ``kept`` is what ``checked`` gave, written.
+
+    An ``Observation`` of the pass would tell the same, but a session of Spark 4.1 that has used one can't send models of
+    ``pyspark.ml`` to its executors any more (they drag the session's observation manager along). Only one column is read.
+    """
+    by = {r.reason: r["count"] for r in kept.groupBy("reason").count().collect()}  # one row a reason
+    return {"rows": sum(by.values()), "taken": by.get(None, 0), **{r: by.get(r, 0) for r in REASONS}}
 
 
 def accepted(marked: DataFrame, ruling: L.Ruling = L.KEEP) -> DataFrame:
@@ -58,9 +61,8 @@ def load(rows: DataFrame, tasks: DataFrame, scratch, strict: bool = True) -> tup
     With ``strict`` rows of an unknown task or with another truth raise ArtifactMismatch: figures of two worlds would be
     joined without anybody seeing it.
     """
-    marked, seen = observed(checked(rows, tasks))
-    kept = scratch.keep(marked, "proposals")
-    counts = {k: int(v) for k, v in seen.get.items()}
+    kept = scratch.keep(checked(rows, tasks), "proposals")
+    counts = tally(kept)
     if strict and any(counts[r] for r in MISMATCH):
         sample = kept.where(F.col("reason").isin(*MISMATCH)).orderBy("task", "seq").limit(3).collect()
         raise ArtifactMismatch(f"{counts}; first: {[(r.task, r.reason) for r in sample]}")
