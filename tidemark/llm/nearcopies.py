@@ -205,6 +205,11 @@ def _rare_keys(texts: DataFrame, size: int, threshold: float) -> DataFrame:
     return ranked.select("rep", "n", F.posexplode(first).alias("at", "x")).where("x.df > 1").select(F.col("x.h").alias("key"), "rep", "n", "at")
 
 
+def _hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """To be broadcast if it has at most ``most`` rows, so that the other side needn't be dealt by its keys; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _hot_keys(rows: DataFrame) -> DataFrame:
     """(key, members, centre) of large buckets, at most HOT_KEYS, found in a sample of the ids but counted in full. It decides
     how rows are dealt, not what is found."""
@@ -255,6 +260,7 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
         rows = members.select("key", "rep", "n", F.lit(0).alias("at")) if open_ is None else open_
         now = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("rep").alias("top")).where(f"lo <> hi AND members > {first}").select("key", "members", "top")
+        mixed = _hinted(staged(mixed, "mixed"))
         # The smallest member is first in its bucket; the others have places from a hash, about one member each.
         u = F.pmod(F.xxhash64(F.lit("place"), "rep"), F.lit(1 << 40)) / float(1 << 40)
         now = now.join(mixed, "key").withColumn("place", F.when(F.col("rep") == F.col("top"), 0.0).otherwise(1 + u * (F.col("members") - 1)))
@@ -265,7 +271,7 @@ def groups(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
         now = staged(now.select("key", "rep", "n", "at", "place", "component"), "open")
         if now.limit(1).count() == 0:
             break
-        c, m = now.where((F.col("place") >= first) & (F.col("place") < last)).alias("c"), now.alias("m")
+        c, m = _hinted(now.where((F.col("place") >= first) & (F.col("place") < last))).alias("c"), now.alias("m")
         # What two sets can share from here on, were this their first common key; a pair that is alike passes there.
         ahead = F.least(F.col("c.n") - F.col("c.at"), F.col("m.n") - F.col("m.at"))
         alike = (100 * F.least("c.n", "m.n") >= top * F.greatest("c.n", "m.n")) & ((100 + top) * ahead >= top * (F.col("c.n") + F.col("m.n")))
