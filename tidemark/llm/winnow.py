@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .quality import rolled
-from .shared import fresh
+from .shared import fresh, words
 
 PRIME = 2**31 - 1
 BASE = 1_000_003
@@ -32,8 +32,11 @@ UNIT = rf"{_SPACED}{{1,{LONGEST}}}+(?!{_SPACED})|[^\x20\x09-\x0D]"
 
 
 def units(text: Column) -> Column:
-    """The units of a text; none of a null one."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.array().cast("array<string>"))
+    """The units of a text; none of a null one. Most texts are just split: units are words unless a script or a run says
+    otherwise."""
+    # All of the scripts lie above U+0E00.
+    odd = text.rlike(r"[\x{0E00}-\x{10FFFF}]") | text.rlike(rf"[^\x20\x09-\x0D]{{{LONGEST + 1}}}")
+    return F.when(odd, F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).otherwise(words(text))
 
 
 def _powers(n: int) -> tuple[int, ...]:
