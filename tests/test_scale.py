@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import labels as L
 from tidemark.functions.rng import Draws, below
 from tidemark.operators import linkage as K
+from tidemark.operators import restarts as R
 
 
 def test_draws_are_md5():
@@ -32,3 +33,15 @@ def test_counted_draws_are_the_rows_counted(spark):
         assert K.noise_of(got).first().asDict() == K.label_noise(rows).first().asDict()
     want = K.subsample(K.contribute(fleet, tasks), 0.25).groupBy("analyst").count()
     assert sorted(map(tuple, K.drawn_counts(fleet, tasks, 0.25, 0.0, tail="", coin="").select("analyst", "n").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_posteriors_are_not_broadcast(spark):
+    votes = spark.createDataFrame([(t, w, (t + w) % 3 > 0) for t in range(20) for w in range(5)], "task long, who long, verdict boolean")
+    truth = votes.select("task", (F.col("task") % 2 == 0).alias("truth")).distinct()
+    counts = R.counted(votes, [])
+    starts = R.all_starts(counts, truth, [], 2)
+    for df in (R.rates(counts, starts, []), R.step(counts, starts, [])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        # Only the prior, a row a start, may be sent whole.
+        assert plan.count("BroadcastHashJoin") <= 1
