@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels as L
 from tidemark.functions.rng import Draws, below
+from tidemark.operators import inference as I
 from tidemark.operators import linkage as K
 from tidemark.operators import restarts as R
 from tidemark.operators import robust as V
+from tidemark.plans import fleet_queries as Q
 
 
 def test_draws_are_md5():
@@ -67,3 +69,17 @@ def test_krum_scores_by_blocks(spark, monkeypatch):
     assert got.keys() == want.keys()
     assert all(np.isclose(got[k][0], want[k], rtol=1e-12, atol=0) for k in want)
     assert [c for _, c in sorted((got[2, c][1], c) for c in range(9))] == list(range(9))
+
+
+def test_estimation_writes_its_votes_once(spark, tmp_path):
+    votes = spark.createDataFrame([(t, w, (t * 5 + w * 3) % 7 > 2) for t in range(40) for w in range(6)] + [(None, 1, True)], "task long, who long, verdict boolean")
+    p, _, n, _ = I.dawid_skene(votes, max_iters=3, tolerance=0.0, folder=f"file://{tmp_path}")
+    assert n == 3 and spark.read.parquet(f"file://{tmp_path}/votes").count() == 240
+    want = dict(map(tuple, I.dawid_skene(votes, max_iters=3)[0].collect()))
+    got = dict(map(tuple, p.collect()))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_the_view_of_all_policies_is_made_once(spark):
+    plan = Q.audit_policies(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
