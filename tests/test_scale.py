@@ -83,3 +83,8 @@ def test_estimation_writes_its_votes_once(spark, tmp_path):
 def test_the_view_of_all_policies_is_made_once(spark):
     plan = Q.audit_policies(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_permutation_p_tells_p(spark):
+    assert Q.permutation_p(spark, "/root/testdata/sf0.001").columns == ["delta", "strata", "p", "detected"]
+    assert "range(4200)" in Q.PERMUTATION_P
