@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import labels as L
 from tidemark.functions.rng import Draws, below
+from tidemark.operators import federated as D
 from tidemark.operators import inference as I
 from tidemark.operators import linkage as K
 from tidemark.operators import restarts as R
@@ -88,3 +89,11 @@ def test_the_view_of_all_policies_is_made_once(spark):
 def test_permutation_p_tells_p(spark):
     assert Q.permutation_p(spark, "/root/testdata/sf0.001").columns == ["delta", "strata", "p", "detected"]
     assert "range(4200)" in Q.PERMUTATION_P
+
+
+def test_rates_of_few_voters_are_sent_to_the_links(spark):
+    votes = spark.createDataFrame([(t, w, (t * 5 + w * 3) % 7 > 2) for t in range(12) for w in range(8)], "task long, who long, verdict boolean")
+    links = D.exchange(votes)
+    p = D.start(links, 1).select("task", "p")
+    one, two = (dict(map(tuple, D.advance(links, p, None, 3, few).collect())) for few in (True, False))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-12 for k in one)
