@@ -8,13 +8,18 @@ they are compared with; in each the tasks that come first by a hash are kept, pa
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+import hashlib
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.rng import hashed
+from ..functions.rng import Draws, hashed
+from ..ship import ship
 
 ATTEMPTS, STRIDE, NULL_DRAWS, QUANTILE = 50, 1009, 2000, 0.99
 BITS = (1, 2, 4, 8)
@@ -47,11 +52,43 @@ def shown(reports: DataFrame, pattern: list[str]) -> DataFrame:
     return reports.groupBy(F.col("event_id").alias("task")).agg(facts.alias("shown"), F.bit_or("mask").alias("mask"))
 
 
-def draws(pool: DataFrame, n: int, size: int, order: Column) -> DataFrame:
-    """(draw and the pool's columns): of each draw the ``size`` tasks that come first by ``order``, a hash with draw in it."""
-    every = pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    place = F.row_number().over(Window.partitionBy("draw").orderBy(order, "task"))
-    return every.withColumn("_p", place).where(F.col("_p") <= size).drop("_p")
+def _first(n: int, size: int, prefix: Callable[[int], str]):
+    """Of the tasks of a partition, those that may be among the first ``size`` of each draw: (draw, task, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tasks, h = [np.empty(0, np.int64)] * n, [np.empty(0, np.int64)] * n
+        lost = False
+        for batch in batches:
+            lost = lost or batch.column(0).null_count > 0
+            own = batch.column(0).drop_null().to_numpy()
+            if not len(own):
+                continue
+            made = Draws(own)
+            for d in range(n):
+                x = made.under(prefix(d))
+                at = np.flatnonzero(x <= np.partition(x, size - 1)[size - 1]) if len(x) > size else np.arange(len(x))
+                k, v = np.r_[tasks[d], own[at]], np.r_[h[d], x[at].astype(np.int64)]
+                first = np.lexsort((k, v))[:size]
+                tasks[d], h[d] = k[first], v[first]
+        sizes = [len(x) for x in tasks]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), sizes), pa.int32()), pa.array(np.concatenate(tasks), pa.int64()), pa.array(np.concatenate(h), pa.int64())], ["draw", "task", "h"])
+        if lost:  # a task without id is hashed without it
+            none = [int(hashlib.md5(prefix(d)[:-1].encode()).hexdigest()[:8], 16) for d in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(n, pa.int64()), pa.array(none, pa.int64())], ["draw", "task", "h"])
+
+    return run
+
+
+def draws(pool: DataFrame, n: int, size: int, prefix: Callable[[int], str]) -> DataFrame:
+    """(draw and the pool's columns): of each draw the ``size`` tasks that come first by the hash of ``prefix`` of the draw and task.
+
+    No row is made for a task and draw: partitions keep the first ones of every draw.
+    """
+    ship(pool.sparkSession)
+    some = pool.select(F.col("task").cast("bigint")).mapInArrow(_first(n, size, prefix), "draw int, task bigint, h bigint")
+    place = F.row_number().over(Window.partitionBy("draw").orderBy("h", "task"))
+    taken = some.withColumn("_p", place).where(F.col("_p") <= size).select("draw", F.col("task").alias("_task"))
+    return pool.join(F.broadcast(taken), F.col("task").eqNullSafe(F.col("_task"))).drop("_task")  # no more than n * size rows
 
 
 def worst_gaps(drawn: DataFrame, size: int, n: int, totals: dict[int, int]) -> DataFrame:
@@ -86,9 +123,9 @@ def balanced_slice(reports: DataFrame, pattern: list[str], size: int, seed: int
         raise SliceUnusable(f"a slice of {size} needs as many tasks that show {need} facts; there are {sums.n}")
     totals = {b: sums[f"c{b}"] for b in BITS}
     own = (F.lit(seed) + F.col("draw") * STRIDE).cast("string")
-    drawn = draws(pool, attempts, size, hashed(own, F.col("task"))).withColumn("fact", F.element_at("shown", (hashed(own, "fact", F.col("task")) % F.size("shown") + 1).cast("int")))
+    drawn = draws(pool, attempts, size, lambda d: f"{seed + d * STRIDE}:").withColumn("fact", F.element_at("shown", (hashed(own, "fact", F.col("task")) % F.size("shown") + 1).cast("int")))
     distrusted = reports.join(drawn.select("draw", F.col("task").alias("event_id"), "fact"), "event_id").where(F.array_contains("fact_ids", F.col("fact"))).select("draw", "report_id")
-    null = worst_gaps(draws(pool.select("task", "mask"), null_draws, size, hashed(seed, "null", F.col("draw"), F.col("task"))), size, sums.n, totals)
+    null = worst_gaps(draws(pool.select("task", "mask"), null_draws, size, lambda d: f"{seed}:null:{d}:"), size, sums.n, totals)
     levels = null.groupBy("gap").agg(F.count("*").alias("n"))
     cells = worst_gaps(drawn, size, sums.n, totals).join(flips(reports, distrusted, pattern, need), "draw", "left")
     known = {r.gap: r.n for r in levels.collect()}  # no more than null_draws
