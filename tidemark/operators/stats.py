@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.rng import choice, hashed
+from ..functions.rng import Draws, choice, hashed
+from ..ship import ship
+
+#: Tasks whose counts may be sent to the draws: some 32 MB.
+SENT = 2_000_000
 
 
 def by_task(trials: DataFrame) -> DataFrame:
@@ -34,15 +41,55 @@ def variance_split(trials: DataFrame) -> DataFrame:
 def resampled(trials: DataFrame, resamples: int, seed: int = 7) -> DataFrame:
     """(draw, rate): tasks drawn with replacement, all trials of a task together.
 
-    A resample is as many draws as there are tasks, so draws x tasks rows; they carry a place, not trials.
+    A resample is as many draws as there are tasks, so draws x tasks hashes; the counts of up to ``SENT``
+    tasks are sent to them, else they are joined by place.
     """
     order = Window.orderBy("task")
     t = by_task(trials).withColumn("i", F.row_number().over(order) - 1)
     n = t.count()
+    if 0 < n <= SENT:
+        ship(trials.sparkSession)
+        own = t.orderBy("i").select("wins", "n").toArrow()
+        found = trials.sparkSession.range(resamples * n).mapInArrow(_drawn(own.column("wins").to_numpy(), own.column("n").to_numpy(), seed), "draw bigint, wins bigint, n bigint")
+        return found.groupBy("draw").agg(F.coalesce(F.sum("wins") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rate"))
     draws = trials.sparkSession.range(resamples * n).select(F.floor(F.col("id") / max(n, 1)).alias("draw"), F.pmod(hashed(seed, F.col("id")), F.lit(max(n, 1))).alias("i"))
     return draws.join(t, "i").groupBy("draw").agg(F.coalesce(F.sum("wins") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("rate"))
 
 
+def _range_hashes(at: np.ndarray, prefix: str, made: dict[int, Draws]) -> np.ndarray:
+    """``hashed`` of the prefix and numbers that follow each other. Runs of 10,000 share all but their last five digits, whose
+    text is kept in ``made``; where the fifth is 0 it would be lost, and the numbers are written out."""
+    out = np.empty(len(at), np.int64)
+    block = at // 10_000
+    for b in np.unique(block).tolist():
+        mine, fifth = block == b, b % 10
+        if fifth:
+            if fifth not in made:
+                made[fifth] = Draws(np.arange(fifth * 10_000, (fifth + 1) * 10_000))
+            of = np.zeros(10_000, bool)
+            of[at[mine] - b * 10_000] = True
+            out[mine] = made[fifth].under(f"{prefix}{b // 10 or ''}", of)
+        else:
+            out[mine] = Draws(at[mine]).under(prefix)
+    return out
+
+
+def _drawn(wins: np.ndarray, n: np.ndarray, seed: int):
+    """(draw, wins, n) of rows (id), draws one after another: the sums of the tasks that a batch draws."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Draws] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            if not len(at):
+                continue
+            i, draw = _range_hashes(at, f"{seed}:", made) % len(n), at // len(n)
+            begin = np.r_[0, np.flatnonzero(np.diff(draw)) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(draw[begin]), pa.array(np.add.reduceat(wins[i], begin)), pa.array(np.add.reduceat(n[i], begin))], ["draw", "wins", "n"])
+
+    return run
+
+
 def cluster_bootstrap(trials: DataFrame, resamples: int = 2000, level: float = 0.95, seed: int = 7) -> DataFrame:
     """point, low, high: positions max(0, int(tail * B) - 1) and min(B - 1, int((1 - tail) * B)) of the sorted draws.
 
