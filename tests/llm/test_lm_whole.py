@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,17 @@ def test_large_logits_are_not_cut():
     known = lm.classes(np.arange(90.0)[::-1].copy())
     got = lm.log10_probability([np.array([1])], lm.Scorer(p, table), known)[0] - known["share"][1]
     assert got == pytest.approx(-10 / np.log(10), rel=1e-3)
+
+
+def test_few_texts_are_coded_together(monkeypatch):
+    texts = [f"alpha beta{i} gamma" for i in range(9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array([True] * 9), pa.array(texts)], ["doc_id", "learned", "text"])
+
+    def groups():
+        rows = [r for b in lm._code(PATH, PATTERN)(iter([batch])) for r in b.to_pylist() if r["learned"] is None]
+        return len(rows), sum((Counter(dict(zip(r["words"], r["times"], strict=True))) for r in rows), Counter())
+
+    monkeypatch.setattr(lm, "TEXTS", 40)
+    few = groups()
+    monkeypatch.undo()
+    assert few[0] > 3 and groups() == (1, few[1]) and lm.TEXTS <= 2_000_000

@@ -35,7 +35,9 @@ BLOCK, DIM = 16, 16
 INPUTS, OUTPUTS = 512, 64
 START = INPUTS - 1
 #: Blocks of a training step, tokens of a shard, and tokens that are scored together.
-BATCH, SHARD, GROUP = 256, 2_000_000, 400_000
+BATCH, SHARD, GROUP = 256, 2_000_000, 200_000
+#: Bytes of text whose words are counted and encoded together: their words and pieces are Python objects for a while.
+TEXTS = 2_000_000
 #: Counts that the unigram of classes adds to each input class's successors.
 PRIOR = 20.0
 #: Parameters are averaged in multiples of 1 / FINE.
@@ -306,7 +308,7 @@ def _code(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path, pattern)
         end = len(coder.table)
-        for part in (p for big in batches for p in bpe.slices(big, bpe.GROUP // 2)):
+        for part in (p for big in batches for p in bpe.slices(big, TEXTS)):
             said = [split_words(t) for t in part.column(2).to_pylist()]
             n = len(said)
             sizes = np.array([len(w) for w in said], np.int64)
