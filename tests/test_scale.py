@@ -12,6 +12,8 @@ from tidemark.operators import inference as I
 from tidemark.operators import linkage as K
 from tidemark.operators import restarts as R
 from tidemark.operators import robust as V
+from tidemark.operators import slices as Z
+from tidemark.operators import stats as S
 from tidemark.plans import fleet_queries as Q
 from tidemark.scratch import Scratch
 
@@ -114,3 +116,47 @@ def test_rounds_of_all_starts_send_sums_by_voter(spark, monkeypatch):
     assert got.keys() == want.keys() and len(got) == 7
     for k, r in want.items():
         assert abs(got[k].log_likelihood - r.log_likelihood) < 1e-9 and abs(got[k].agreement - r.agreement) < 1e-12 and got[k].iterations == 2
+
+
+def test_slices_are_drawn_without_a_row_for_each_task_and_draw(spark):
+    pool = spark.createDataFrame([(t, t % 16) for t in range(5, 900, 3)] + [(None, 3)], "task long, mask int")
+    got = Z.draws(pool.repartition(3), 20, 4, lambda d: f"7:null:{d}:")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    h = lambda d, t: int(hashlib.md5((f"7:null:{d}" + ("" if t is None else f":{t}")).encode()).hexdigest()[:8], 16)
+    rows = [r.task for r in pool.collect()]
+    want = {(d, t) for d in range(20) for t in sorted(rows, key=lambda t: (h(d, t), t or 0))[:4]}
+    assert {(r.draw, r.task) for r in got.collect()} == want
+
+
+def test_resamples_are_not_joined(spark, monkeypatch):
+    trials = spark.createDataFrame([(t, None if t % 7 == 0 else (t * k) % 3 > 0) for t in range(400) for k in range(t % 4 + 1)], "task long, outcome boolean")
+    got = S.resampled(trials, 60)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(S, "SENT", 0)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.resampled(trials, 60).collect()))
+    for a in (0, 9_990, 99_990, 12_309_995):
+        at = np.arange(a, a + 10_020)
+        assert (S._range_hashes(at, "7:", {}) == [int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:8], 16) for i in at]).all()
+
+
+def test_rasch_takes_no_exponential_by_vote_and_step(monkeypatch):
+    rng = np.random.default_rng(4)
+    t, w = np.unique(rng.integers(0, 90, 1500), return_inverse=True)[1], np.unique(rng.integers(0, 40, 1500), return_inverse=True)[1]
+    v = (t % 2 == 0) != (rng.random(1500) < 0.2)
+    sizes, plain = [], I._sigmoid
+    monkeypatch.setattr(I, "_sigmoid", lambda x: sizes.append(len(x)) or plain(x))
+    got = I.fit_rasch(t, w, v, 3, 0.0)
+    assert sizes.count(1500) == 2 * 3  # at the end of a round
+    p, a, b = np.bincount(t, v) / np.bincount(t), np.ones((2, 40)), np.zeros((2, 90))
+    for _ in range(3):
+        for _ in range(I.STEPS):
+            res = [(p[t] if k else 1 - p[t]) * ((v == bool(k)) - plain(a[k][w] - b[k][t])) for k in (0, 1)]
+            m, n = a.mean(axis=1, keepdims=True), b.mean(axis=1, keepdims=True)
+            da = np.stack([np.bincount(w, r, 40) for r in res]) - (a - m) - 0.01 * m / 40
+            db = -np.stack([np.bincount(t, r, 90) for r in res]) - (b - n) - 0.01 * n / 90
+            a, b = a + I.RATE * da, b + I.RATE * db
+        g = a.mean(axis=1, keepdims=True) - 1
+        a, b = a - g, b - g
+        p = I._update(t, v, plain(a[1][w] - b[1][t]), plain(a[0][w] - b[0][t]), 90)
+    assert np.allclose(got["p"], p, atol=1e-9) and np.allclose(got["ability"], a.mean(axis=0)) and np.allclose(got["difficulty"], b.mean(axis=0))
