@@ -101,3 +101,16 @@ def test_few_texts_are_coded_together(monkeypatch):
     few = groups()
     monkeypatch.undo()
     assert few[0] > 3 and groups() == (1, few[1]) and lm.TEXTS <= 2_000_000
+
+
+def test_ids_are_counted_some_documents_at_a_time_and_without_the_coder(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 90, k) for k in (5, 1, 300, 7, 40, 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.list_(pa.int32()))], ["ids"])
+    monkeypatch.setattr(lm, "GROUP", 50)
+    bpe.load(PATH, PATTERN)
+    asked = []
+    got = list(lm._counted(90, lambda some: asked.append(len(some)) or np.concatenate(some))(iter([batch, batch.slice(0, 0)])))[0].to_pydict()
+    want = np.bincount(np.concatenate(docs), minlength=90)
+    assert dict(zip(got["k"], got["n"], strict=True)) == {k: n for k, n in enumerate(want.tolist()) if n}
+    assert len(asked) > 2 and sum(asked) == len(docs) and bpe.load.cache_info().currsize == 0

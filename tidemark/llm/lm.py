@@ -34,7 +34,7 @@ from .shared import Run, scope, staged, tidy
 BLOCK, DIM = 16, 16
 INPUTS, OUTPUTS = 512, 64
 START = INPUTS - 1
-#: Blocks of a training step, tokens of a shard, and tokens that are scored together.
+#: Blocks of a training step, tokens of a shard, and tokens that are counted or scored together.
 BATCH, SHARD, GROUP = 256, 2_000_000, 200_000
 #: Bytes of text whose words are counted and encoded together: their words and pieces are Python objects for a while.
 TEXTS = 2_000_000
@@ -347,14 +347,24 @@ def _ids(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
+def _grouped(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose lists in column ``at`` hold about GROUP ids; a longer list makes a part of its own."""
+    lengths = pc.list_value_length(batch.column(at)).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(lengths, dtype=np.int64) - 1) // GROUP
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _counted(size: int, keys):
-    """Sums of np.bincount of the keys that ``keys`` gives for a list of documents."""
+    """Sums of np.bincount of the keys that ``keys`` gives for a list of documents, for some documents at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.load.cache_clear()  # texts are coded by now, and a worker keeps its coder
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(keys(_ids(batch, 0)), minlength=size)
+        for part in (p for batch in batches for p in _grouped(batch, 0)):
+            total += np.bincount(keys(_ids(part, 0)), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["k", "n"])
 
@@ -372,6 +382,7 @@ def _train(start: np.ndarray, table: np.ndarray, known: dict[str, np.ndarray]):
     """Rows (shard, ids) come sorted by shard; each shard gives its parameters times its tokens, in multiples of 1 / FINE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.load.cache_clear()
         shard, opt, held, size, seen = None, Adam(start, table), [], 0, 0
 
         def done() -> pa.RecordBatch:
@@ -402,22 +413,19 @@ def _score(flat: np.ndarray, table: np.ndarray, known: dict[str, np.ndarray], ho
     """Rows (doc_id, n_tokens, ids, words, times): scores, and the words of each document whose counts are still to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.load.cache_clear()
         model = Scorer(unpack(flat), table)
         uid = TaskContext.get().partitionId() << 36
         for big in batches:
-            lengths = pc.list_value_length(big.column(2)).to_numpy(zero_copy_only=False)
-            part = (np.cumsum(lengths, dtype=np.int64) - 1) // GROUP
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), big.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                batch = big.slice(a, b - a)
+            # The table of hot words is built anew by every call: once for a batch, not for each of its groups.
+            places, upto = pc.fill_null(pc.index_in(big.column(3).flatten(), hot), -1).to_numpy(zero_copy_only=False), 0
+            for batch in _grouped(big, 2):
                 n = batch.num_rows
-                if not n:
-                    continue
                 score = log10_probability(_ids(batch, 2), model, known)
                 words, times = batch.column(3).flatten(), batch.column(4).flatten()
                 own = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
                 owner, k = np.repeat(np.arange(n), own), times.to_numpy(zero_copy_only=False)
-                at = pc.fill_null(pc.index_in(words, hot), -1).to_numpy(zero_copy_only=False)
+                at, upto = places[upto : upto + len(words)], upto + len(words)
                 found = at >= 0
                 base = end + np.bincount(owner[found], k[found] * logs[at[found]], n)
                 n_known = end_known + np.bincount(owner[found], k[found], n).astype(np.int64)
