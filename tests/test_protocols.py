@@ -296,3 +296,25 @@ def test_winning_rules(spark):
     by_margin = Y.winning_rule(rows(lambda i: i % 5 == 1, lambda i: i % 5 != 1), budget=16)
     assert by_margin["winner"] == "confidence" and by_margin["confidence"] == 0.0
     assert Y.winning_rule(rows(lambda i: False, lambda i: True))["winner"] is None
+
+
+def test_a_pass_sends_blocks_of_sums():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sizes, width, folds = rng.integers(0, 9, 500), 3000, 4
+    at, x = [rng.choice(width, n, replace=False) for n in sizes], [rng.standard_normal(n) for n in sizes]
+    fold, y, w = rng.integers(0, folds, 500), rng.integers(0, 2, 500).astype(float), rng.standard_normal((folds, width))
+    rows = pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(y), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], ["fold", "y", "at", "x"])
+    weight = np.ones((folds, 2)) * [0.5, 2.0]
+    parts = [b for i in (0, 200) for b in fitting._pass(w, weight, fitting.Labels(), folds)(iter([rows.slice(i, 200 if i == 0 else 300), rows.slice(0, 0)]))]
+    assert all(b.num_rows <= -(-folds * (width + 1) // fitting.BLOCK) for b in parts)
+    got = np.zeros(folds * (width + 1))
+    for k, v in (r.values() for b in fitting._added(iter(parts)) for r in b.to_pylist()):
+        got[k * fitting.BLOCK : (k + 1) * fitting.BLOCK] = v
+    m = np.zeros((500, width))
+    for i in range(500):
+        m[i, at[i]] = x[i]
+    z, s = m @ w.T, np.where(y == 1, 2.0, 0.5)[:, None] * (fold[:, None] != np.arange(folds))
+    want = np.c_[(s * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0), (s * (1 / (1 + np.exp(-z)) - y[:, None])).T @ m]
+    assert np.allclose(got.reshape(folds, -1), want, atol=1e-9)

@@ -1,8 +1,8 @@
 """Many logistic regressions at once: every fold, and every trial of shuffled labels, in one pass over the rows a step.
 
-A fit is a pair of trial and fold; it learns from the rows outside its fold. Rows are sparse (``at``, ``x``); a task adds the
-gradients of all fits up over its rows and emits them as numbers by fit and feature, so what is shuffled grows with fits
-and features alone. The driver holds weights (fits x features) and moves all fits by L-BFGS, one job a step whatever the
+A fit is a pair of trial and fold; it learns from the rows outside its fold. Rows are sparse (``at``, ``x``) and are read as
+Arrow's flat arrays; a task adds the losses and gradients of all fits up over its rows and emits them in blocks of numbers,
+which are added by block, so what is shuffled grows with tasks, fits and features alone. The driver holds weights (fits x features) and moves all fits by L-BFGS, one job a step whatever the
 number of fits; a fit that has settled or refused a step waits for the others.
 
 Shuffled labels come from a hash of the row: in a trial the rows with the k smallest values are positive, k the number of
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from ..ship import ship
 _U = np.uint64
 DIGITS = 12
 CHUNK = 4096
+#: Numbers of all fits that are shuffled as one row.
+BLOCK = 4096
 
 
 def trial_hash(h: np.ndarray, trial: int, seed: int) -> np.ndarray:
@@ -75,27 +79,29 @@ class Labels:
     def trials(self) -> int:
         return len(self.cuts) if self.cuts else 1
 
-    def of(self, frame: pd.DataFrame) -> np.ndarray:
+    def of(self, rows: pa.RecordBatch) -> np.ndarray:
         """Rows x trials of 0 and 1."""
         if self.cuts is None:
-            return frame["y"].to_numpy(float)[:, None]
-        h = frame["h"].to_numpy()
+            return _numbers(rows["y"]).astype(float)[:, None]
+        h = _numbers(rows["h"])
         return np.stack([(trial_hash(h, t, self.seed).astype(np.int64) <= c).astype(float) for t, c in enumerate(self.cuts)], axis=1)
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 class Chunk:
     """Some rows as a matrix: dense where it is narrow, else as entries."""
 
-    def __init__(self, frame: pd.DataFrame, width: int):
-        size = frame["at"].map(len).to_numpy()
-        self.n, self.width = len(frame), width
+    def __init__(self, rows: pa.RecordBatch, width: int):
+        size = _numbers(pc.list_value_length(rows["at"]))
+        self.n, self.width = rows.num_rows, width
         self.row = np.repeat(np.arange(self.n), size)
-        self.col = np.concatenate(frame["at"].to_list()).astype(np.int64) if size.sum() else np.empty(0, np.int64)
-        self.val = np.concatenate(frame["x"].to_list()).astype(float) if size.sum() else np.empty(0)
+        self.col, self.val = _numbers(rows["at"].flatten()).astype(np.int64), _numbers(rows["x"].flatten()).astype(float)
         self.dense = None
         if width <= 256:
-            self.dense = np.zeros((self.n, width))
-            np.add.at(self.dense, (self.row, self.col), self.val)
+            self.dense = np.bincount(self.row * width + self.col, self.val, self.n * width).reshape(self.n, width)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """Rows x fits, of weights (fits x width)."""
@@ -110,50 +116,82 @@ class Chunk:
         return np.stack([np.bincount(self.col, self.val * c[self.row], self.width) for c in r.T])
 
 
-def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for a in range(0, len(f), CHUNK):
-            yield f.iloc[a : a + CHUNK]
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for f in batches:
+        for a in range(0, f.num_rows, CHUNK):
+            yield f.slice(a, CHUNK)
+
+
+def _blocks(at: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["block", "v"])
 
 
 def _pass(w: np.ndarray, weight: np.ndarray, labels: Labels, folds: int):
-    """(fit, i, v): loss (i = -1) and gradient of every fit; ``weight`` (fits x 2) by class."""
+    """(block, v): loss and gradient of every fit, one fit's after another's; ``weight`` (fits x 2) by class."""
     fits, width = w.shape
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grad, loss = np.zeros((fits, width)), np.zeros(fits)
-        for f in chunks(frames):
-            m, fold = Chunk(f, width), f["fold"].to_numpy()
+        for f in chunks(batches):
+            m, fold = Chunk(f, width), _numbers(f["fold"])
             y = np.repeat(labels.of(f), folds, axis=1)
             z = m.times(w)
             s = np.where(y == 1, weight[:, 1], weight[:, 0]) * (fold[:, None] != np.tile(np.arange(folds), labels.trials))
             loss += (s * (np.logaddexp(0, z) - y * z)).sum(axis=0)
             grad += m.back(s * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y))
-        t, i = np.nonzero(grad)
-        yield pd.DataFrame({"fit": np.r_[np.arange(fits), t], "i": np.r_[np.full(fits, -1), i], "v": np.r_[loss, grad[t, i]]})
+        flat = np.c_[loss, grad].ravel()
+        cuts = range(0, len(flat), BLOCK)
+        # Blocks without a number, as of a task without rows, add nothing.
+        full = [k for k, a in enumerate(cuts) if flat[a : a + BLOCK].any()]
+        yield _blocks(full, [flat[k * BLOCK : (k + 1) * BLOCK] for k in full])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by block of all rows of a task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, v in zip(batch["block"].to_pylist(), batch["v"], strict=True):
+            v = _numbers(v.values)
+            total[k] = total[k] + v if k in total else v
+    yield _blocks(list(total), list(total.values()))
+
+
+def _summed(rows: DataFrame, run, size: int) -> np.ndarray:
+    """What ``run`` gives for the rows of every task, in blocks, added up: ``size`` numbers."""
+    kind = "block int, v array<double>"
+    out = np.zeros(size)
+    found = rows.mapInArrow(run, kind).repartition(min(-(-size // BLOCK), 8), "block").mapInArrow(_added, kind).toArrow()
+    for k, v in zip(found["block"].to_pylist(), found["v"], strict=True):
+        out[k * BLOCK : (k + 1) * BLOCK] = _numbers(v.values)
+    return out
+
+
 def class_counts(rows: DataFrame, labels: Labels, folds: int) -> np.ndarray:
     """Trials x folds x 2: rows of either class in each fold."""
     ship(rows.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((labels.trials, folds, 2), np.int64)
-        for f in chunks(frames):
-            y, fold = labels.of(f).astype(int), f["fold"].to_numpy()
+        for f in chunks(batches):
+            y, fold = labels.of(f).astype(int), _numbers(f["fold"]).astype(np.int64)
             for t in range(labels.trials):
-                np.add.at(n[t], (fold, y[:, t]), 1)
-        t, k, c = np.nonzero(n)
-        yield pd.DataFrame({"t": t, "fold": k, "c": c, "n": n[t, k, c]})
+                n[t] += np.bincount(2 * fold + y[:, t], minlength=2 * folds).reshape(folds, 2)
+        t, k, c = (x.astype(np.int32) for x in np.nonzero(n))
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(k), pa.array(c), pa.array(n[t, k, c])], ["t", "fold", "c", "n"])
 
     out = np.zeros((labels.trials, folds, 2), np.int64)
-    for r in rows.mapInPandas(run, "t int, fold int, c int, n bigint").groupBy("t", "fold", "c").agg(F.sum("n").alias("n")).collect():
+    for r in _needed(rows, labels).mapInArrow(run, "t int, fold int, c int, n bigint").groupBy("t", "fold", "c").agg(F.sum("n").alias("n")).collect():
         out[r.t, r.fold, r.c] = r.n
     return out
 
 
+def _needed(rows: DataFrame, labels: Labels, *more: str) -> DataFrame:
+    """The columns that a pass reads."""
+    return rows.select("fold", "y" if labels.cuts is None else "h", *more)
+
+
 @dataclass
 class Fits:
     """Weights (fits x features), which fits had both classes to learn from, and how many passes it took."""
@@ -194,11 +232,8 @@ def fit(rows: DataFrame, width: int, folds: int, labels: Labels = Labels(), l2:
 
     def at(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         loss, grad = (w * w * ridge).sum(axis=1) / 2, np.zeros_like(w)
-        sums = rows.mapInPandas(_pass(plain(w), weight, labels, folds), "fit int, i int, v double").groupBy("fit", "i").agg(F.sum("v").alias("v")).toPandas()
-        head = sums[sums["i"] < 0]
-        loss[head["fit"]] += head["v"].to_numpy()
-        rest = sums[sums["i"] >= 0]
-        grad[rest["fit"], rest["i"]] += rest["v"].to_numpy()
+        sums = _summed(_needed(rows, labels, "at", "x"), _pass(plain(w), weight, labels, folds), w.shape[0] * (width + 1)).reshape(-1, width + 1)
+        loss, grad = loss + sums[:, 0], grad + sums[:, 1:]
         return loss / size, (turned(grad) + w * ridge) / size[:, None]
 
     movers = [_Mover(np.zeros(width)) for _ in range(len(train))]
@@ -260,15 +295,15 @@ def scored(rows: DataFrame, fits: Fits, width: int, folds: int, labels: Labels =
     ship(rows.sparkSession)
     w, usable = fits.w.reshape(labels.trials, folds, width), fits.usable.reshape(labels.trials, folds)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in chunks(frames):
-            m, fold, y = Chunk(f, width), f["fold"].to_numpy(), labels.of(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in chunks(batches):
+            m, fold, y = Chunk(f, width), _numbers(f["fold"]), labels.of(f)
             for t in range(labels.trials):
-                z = np.zeros(len(f))
+                z = np.zeros(f.num_rows)
                 for k in np.unique(fold):
                     mine = fold == k
                     z[mine] = m.times(w[t, k][None])[mine, 0]
                 ok = usable[t][fold]
-                yield pd.DataFrame({"trial": np.full(ok.sum(), t), "fold": fold[ok], "positive": y[ok, t] == 1, "score": z[ok]})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(ok.sum(), t, np.int32)), pa.array(fold[ok].astype(np.int32)), pa.array(y[ok, t] == 1), pa.array(z[ok])], ["trial", "fold", "positive", "score"])
 
-    return rows.mapInPandas(run, "trial int, fold int, positive boolean, score double")
+    return _needed(rows, labels, "at", "x").mapInArrow(run, "trial int, fold int, positive boolean, score double")
