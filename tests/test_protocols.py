@@ -243,6 +243,19 @@ def test_content_baseline(spark):
         N.baseline(df.where("positive"), scratch)
 
 
+def test_sums_of_ring_elements_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = [759717859617144773, (1 << 60) - 1, (1 << 59) + (1 << 30) - 1, *(int(h) << 30 | (1 << 30) - int(k) for h, k in zip(rng.integers(1 << 24, 1 << 30, 200), rng.integers(1, 65, 200)))]
+    got = spark.createDataFrame([(i % 7, v) for i, v in enumerate(x)], "g long, x long").groupBy("g").agg(D.ring_sum(F.col("x")).alias("s")).collect()
+    assert {r.g: r.s for r in got} == {g: sum(x[g::7]) % (1 << 60) for g in range(7)}
+
+
+def test_a_share_just_below_a_half_is_read_right(spark):
+    # Of this task and seed the second voter's first share ends 59 below a multiple of 2^30.
+    votes = spark.createDataFrame([(263176, w, w % 3 > 0) for w in range(9)], "task long, who long, verdict boolean")
+    assert [(r.votes, r.seen) for r in D.start(D.exchange(votes), 5).collect()] == [(6.0, 9.0)]
+
+
 # --- difficulty and studies
 
 
