@@ -114,3 +114,18 @@ def test_ids_are_counted_some_documents_at_a_time_and_without_the_coder(monkeypa
     want = np.bincount(np.concatenate(docs), minlength=90)
     assert dict(zip(got["k"], got["n"], strict=True)) == {k: n for k, n in enumerate(want.tolist()) if n}
     assert len(asked) > 2 and sum(asked) == len(docs) and bpe.load.cache_info().currsize == 0
+
+
+def test_classes_are_shuffled_in_16_bits_and_train_as_ids_do(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 700, k) for k in (3, 1, 400, 17, 90, 2500)]
+    known = lm.classes(rng.integers(1, 900, 701).astype(float))
+    table = rng.standard_normal((lm.INPUTS, lm.OUTPUTS)).astype(np.float32)
+    plain = lm.Adam(lm.initial(), table)
+    plain.fit(docs, known)
+    zeros = pa.array([0] * len(docs), pa.int64())
+    monkeypatch.setattr(lm, "GROUP", 300)
+    parts = list(lm._dealt(known)(iter([pa.RecordBatch.from_arrays([zeros, zeros, zeros, pa.array(docs, pa.list_(pa.int32()))], ["shard", "h", "tie", "ids"])])))
+    assert len(parts) > 2 and all(p.schema.field("codes").type == pa.list_(pa.int16()) for p in parts)
+    (got,) = lm._train(lm.initial(), table)(iter([p.select(["shard", "codes"]) for p in parts]))
+    assert got.column(1).to_pylist() == [3011] and np.array_equal(got.column(0)[0].values.to_numpy(), np.rint(plain.flat.astype(np.float64) * lm.FINE).astype(np.int64))

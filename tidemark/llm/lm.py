@@ -44,6 +44,8 @@ PRIOR = 20.0
 FINE = 2**28
 #: Words whose counts go to every task; the others are joined.
 HOT = 2**18
+#: Input and output class of a position as one number, input * OUTPUTS + output, which fits into 16 bits.
+PAIR = {"in": (np.arange(INPUTS * OUTPUTS) // OUTPUTS).astype(np.int16), "out": (np.arange(INPUTS * OUTPUTS) % OUTPUTS).astype(np.int16)}
 _SHAPES = {"emb": (INPUTS, DIM), "qkv": (DIM, 3 * DIM), "rel": (2 * BLOCK,), "out": (DIM, OUTPUTS), "bias": (OUTPUTS,)}
 _AGE = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]  # how far back a key lies
 _PAST = (_AGE >= 0).astype(np.float32)
@@ -378,8 +380,24 @@ def _sums(rows: DataFrame, size: int, keys) -> np.ndarray:
     return out
 
 
-def _train(start: np.ndarray, table: np.ndarray, known: dict[str, np.ndarray]):
-    """Rows (shard, ids) come sorted by shard; each shard gives its parameters times its tokens, in multiples of 1 / FINE."""
+DEALT = {"shard": pa.int64(), "h": pa.int64(), "tie": pa.int64(), "codes": pa.list_(pa.int16())}
+
+
+def _dealt(known: dict[str, np.ndarray]):
+    """Rows (shard, h, tie, ids) with the classes of each id, as in ``PAIR``, in place of the id: half the bytes to shuffle."""
+    codes = (known["in"].astype(np.int64) * OUTPUTS + known["out"]).astype(np.int16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.load.cache_clear()
+        for part in (p for batch in batches for p in _grouped(batch, 3)):
+            ids = part.column(3)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], _lists(codes[ids.flatten().to_numpy(zero_copy_only=False)], ids.value_lengths().to_numpy(), pa.int16())], list(DEALT))
+
+    return run
+
+
+def _train(start: np.ndarray, table: np.ndarray):
+    """Rows (shard, codes) come sorted by shard; each shard gives its parameters times its tokens, in multiples of 1 / FINE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe.load.cache_clear()
@@ -387,21 +405,21 @@ def _train(start: np.ndarray, table: np.ndarray, known: dict[str, np.ndarray]):
 
         def done() -> pa.RecordBatch:
             if held:
-                opt.fit(held, known)
+                opt.fit(held, PAIR)
             whole = np.rint(opt.flat.astype(np.float64) * FINE).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([whole], pa.list_(pa.int64())), pa.array([seen], pa.int64())], ["params", "seen"])
 
         for batch in batches:
-            for s, ids in zip(batch.column(0).to_pylist(), _ids(batch, 1), strict=True):
+            for s, codes in zip(batch.column(0).to_pylist(), _ids(batch, 1), strict=True):
                 if s != shard and shard is not None:
                     yield done()
                     opt, held, size, seen = Adam(start, table), [], 0, 0
                 shard = s
-                held.append(ids.copy())
-                size += len(ids)
-                seen += len(ids)
+                held.append(codes.copy())
+                size += len(codes)
+                seen += len(codes)
                 if size >= 8 * BATCH * BLOCK:
-                    opt.fit(held, known)
+                    opt.fit(held, PAIR)
                     held, size = [], 0
         if shard is not None:
             yield done()
@@ -449,10 +467,11 @@ def learn(coded: DataFrame, ids: int, shard: int = SHARD) -> tuple[np.ndarray, n
     table, flat = successors(pairs, known, counts), initial()
     n = max(1, -(-int(counts.sum()) // shard))
     # Of equal ids the smaller hash of the text goes first.
-    dealt = coded.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "ids").select(F.pmod("h", F.lit(n)).alias("shard"), "h", "ids")
+    dealt = coded.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "ids").select(F.pmod("h", F.lit(n)).alias("shard"), "h", F.xxhash64("ids").alias("tie"), "ids")
+    dealt = dealt.mapInArrow(tidy(_dealt(known)), "shard bigint, h bigint, tie bigint, codes array<smallint>")
     spread = min(n, 8 * int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = dealt.repartition(spread, "shard").sortWithinPartitions("shard", "h", F.xxhash64("ids")).select("shard", "ids")
-    found = rows.mapInArrow(tidy(_train(flat, table, known)), "params array<bigint>, seen bigint")
+    rows = dealt.repartition(spread, "shard").sortWithinPartitions("shard", "h", "tie").select("shard", "codes")
+    found = rows.mapInArrow(tidy(_train(flat, table)), "params array<bigint>, seen bigint")
     weighed = F.sum(F.col("v").cast("decimal(38,0)") * F.col("seen"))
     mean = found.select(F.posexplode("params").alias("i", "v"), "seen").groupBy("i").agg(weighed.alias("v"), F.sum("seen").alias("n")).collect()
     if mean:
