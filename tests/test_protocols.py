@@ -259,6 +259,23 @@ def test_a_share_just_below_a_half_is_read_right(spark):
 # --- difficulty and studies
 
 
+def test_votes_of_few_voters_are_shuffled_once(spark, monkeypatch):
+    from tidemark.operators import difficulty as Y
+
+    def no(*x):
+        raise AssertionError("votes are joined")
+
+    df = spark.createDataFrame(crowd(np.random.default_rng(5), 30, 9), "task int, who int, verdict boolean")
+    for model in (Y.Glad, Y.Rasch):
+        monkeypatch.setattr(Y, "FEW", 8)
+        want = [x.toPandas().sort_values(x.columns[0]).to_numpy(float) for x in Y.fit(df, model, max_iters=2, steps=2)[:2]]
+        monkeypatch.undo()
+        monkeypatch.setattr(Y, "joined", no)
+        got = [x.toPandas().sort_values(x.columns[0]).to_numpy(float) for x in Y.fit(df, model, max_iters=2, steps=2)[:2]]
+        monkeypatch.undo()
+        assert all(np.allclose(x, y, atol=1e-9) for x, y in zip(got, want, strict=True))
+
+
 @pytest.mark.parametrize("name", ["glad", "rasch"])
 def test_grouped_steps_equal_the_fit_in_memory(spark, monkeypatch, name):
     from tidemark.operators import difficulty as Y
