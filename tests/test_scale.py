@@ -160,3 +160,17 @@ def test_rasch_takes_no_exponential_by_vote_and_step(monkeypatch):
         a, b = a - g, b - g
         p = I._update(t, v, plain(a[1][w] - b[1][t]), plain(a[0][w] - b[0][t]), 90)
     assert np.allclose(got["p"], p, atol=1e-9) and np.allclose(got["ability"], a.mean(axis=0)) and np.allclose(got["difficulty"], b.mean(axis=0))
+
+
+def test_orders_of_draws_are_not_shuffled(spark, monkeypatch):
+    rows = [(t, t % 3 if t % 50 else None, None if t % 41 == 0 else t % 7 < 2, None if t % 13 == 0 else (t * 37 % 11) / 10) for t in range(-40, 900)]
+    rows += [(1000 + t, 7, True, 0.5) for t in range(5)] + [(2000, 8, True, None), (2001, 8, False, 0.5)]
+    view = spark.createDataFrame(rows, "task int, stratum int, carries boolean, rate double")
+    want = S.stratified_delta(S.shuffled(view, 60, 5), ["draw"]).collect()
+    monkeypatch.setattr(S, "shuffled", None)
+    for block, width in ((1 << 16, 5.0), (100, 0.05)):  # narrow: draws are done again
+        monkeypatch.setattr(S, "BLOCK", block)
+        got = S.order_gaps(view, 60, 5, Scratch(spark, "t"), width).where("gap IS NOT NULL").groupBy("draw").agg(F.avg("gap"), F.count("*")).collect()
+        assert [(r[0], r[2]) for r in sorted(got)] == [(r[0], r[2]) for r in sorted(want)]
+        assert np.allclose([r[1] for r in sorted(got)], [r[1] for r in sorted(want)], rtol=0, atol=1e-12)
+    assert S.channel_test(view, 60).columns == ["delta", "strata", "p", "detected"]

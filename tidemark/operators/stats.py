@@ -6,16 +6,21 @@ from collections.abc import Iterator
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import IntegralType
 
 from ..functions.rng import Draws, choice, hashed
+from ..scratch import Scratch
 from ..ship import ship
 
 #: Tasks whose counts may be sent to the draws: some 32 MB.
 SENT = 2_000_000
+#: Tasks of one block that draws put in order, partitions of such blocks, and draws that one task of Spark makes of a block.
+BLOCK, BLOCKS, TOGETHER = 1 << 16, 64, 64
 
 
 def by_task(trials: DataFrame) -> DataFrame:
@@ -158,12 +163,99 @@ def shuffled(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     return every.select("draw", "stratum", "task", "rate", (place <= F.col("k")).alias("carries"))
 
 
+def _settled(seed: int, width: float):
+    """For each draw of a block of a stratum's tasks: those that surely come first, as sums, and those near the cut, as rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.itertuples(index=False):
+                task, rate = np.asarray(row.tasks, np.int64), np.asarray(row.rates, float)
+                known = ~np.isnan(rate)
+                rate, known, hashes, k, n = np.where(known, rate, 0.0), known.astype(float), Draws(task), row.k, row.size
+                room = width * math.sqrt(k * (n - k) / n) + width * width
+                low, high = (np.uint64(min(max(math.floor(x / n * 4294967296.0), 0), 1 << 32)) for x in (k - room, k + room))
+                sums, near, held = [], [], []
+                for draw in row.draws:
+                    h = hashes.under(f"{seed}:{draw}:")
+                    first = h < low
+                    at = np.flatnonzero(~first & (h < high))
+                    sums.append((np.count_nonzero(first), known @ first, rate @ first))
+                    near.append((h[at], task[at], rate[at], known[at]))
+                    held.append(len(at))
+                whole = bool(low == 0 and high == 1 << 32)
+                lists = [np.concatenate(x) for x in zip(*near, strict=True)]
+                yield pd.DataFrame([(row.stratum, row.draws[0], row.draws, k, whole, known.sum(), rate.sum(), *map(np.array, zip(*sums, strict=True)), np.array(held), lists[0].astype(np.int64), *lists[1:])], columns=_SETTLED)
+
+    return run
+
+
+_SETTLED = ["stratum", "first", "draws", "k", "whole", "known", "total", "n_in", "known_in", "sum_in", "held", "h", "task", "rate", "is_known"]
+
+
+def _gaps(f: pd.DataFrame) -> pd.DataFrame:
+    """(stratum, draw, gap, short) from the blocks of a stratum; ``short``: the cut lies outside what was taken to be near."""
+    draws, k = f["draws"].iloc[0], int(f["k"].iloc[0])
+    chosen, with_n, with_sum = (np.sum(np.stack(f[c]), axis=0) for c in ("n_in", "known_in", "sum_in"))
+    owner = np.concatenate([np.repeat(np.arange(len(draws)), x) for x in f["held"]])
+    h, task, rate, known = (np.concatenate(f[c].to_numpy()) for c in ("h", "task", "rate", "is_known"))
+    order = np.lexsort((task, h, owner))
+    owner, held = owner[order], np.bincount(owner, minlength=len(draws))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(held) - held, held)
+    mine = place < (k - chosen)[owner]
+    with_n = with_n + np.bincount(owner, known[order] * mine, len(draws))
+    with_sum = with_sum + np.bincount(owner, rate[order] * mine, len(draws))
+    other = f["known"].sum() - with_n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = with_sum / with_n - (f["total"].sum() - with_sum) / other
+    short = ((chosen > k) | (chosen + held < k)) & ~f["whole"].iloc[0]
+    gap = pd.Series(gap).astype(object).where((with_n > 0) & (other > 0), None)
+    return pd.DataFrame({"stratum": f["stratum"].iloc[0], "draw": draws, "gap": gap, "short": short})
+
+
+def order_gaps(rows: DataFrame, draws: int, seed: int, scratch: Scratch, width: float = 5.0) -> DataFrame:
+    """(draw, gap) by stratum: what ``shuffled`` gives, of tasks that are whole numbers; ones without task are left out.
+
+    Every draw hashes every task. Hashes are even, so where the k-th lies is known but for some standard deviations:
+    only tasks within ``width`` of them are shuffled and put in order, about the root of their number. Draws whose cut lies
+    outside are done again with a wider one, until none is left.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    rows = rows.where("task IS NOT NULL AND stratum IS NOT NULL").select("stratum", F.col("task").cast("long").alias("task"), "carries", F.col("rate").cast("double").alias("rate"))
+    sizes = rows.groupBy("stratum").agg(F.count("*").alias("size"), F.sum(F.col("carries").cast("long")).alias("k")).where("k > 0 AND k < size")
+    blocks = sizes.agg(F.sum(F.ceil(F.col("size") / BLOCK))).first()[0]
+    block = F.pmod(F.xxhash64("task"), F.ceil(F.col("size") / BLOCK))
+    dealt = rows.join(F.broadcast(sizes), "stratum").withColumn("_b", block).repartition(max(1, min(blocks or 1, BLOCKS)), "stratum", "_b")
+    lists = dealt.groupBy("stratum", "_b", "k", "size").agg(F.collect_list(F.struct("task", "rate")).alias("c"))
+    work = scratch.keep(lists.select("stratum", "k", "size", F.col("c.task").alias("tasks"), F.col("c.rate").alias("rates")), "blocks")
+    kind = rows.schema["stratum"].dataType.simpleString()
+    form = f"stratum {kind}, first int, draws array<int>, k bigint, whole boolean, known double, total double, n_in array<bigint>, known_in array<double>, sum_in array<double>, held array<bigint>, h array<bigint>, task array<bigint>, rate array<double>, is_known array<double>"
+    out, todo, together = None, list(range(draws)), TOGETHER if (blocks or 0) > 16 else max(TOGETHER, -(-draws // 16))
+    while todo:
+        chunks = [(todo[i : i + together],) for i in range(0, len(todo), together)]
+        dealt = spark.createDataFrame(chunks, "draws array<int>").repartition(len(chunks))
+        found = work.crossJoin(dealt.hint("shuffle_replicate_nl")).mapInPandas(_settled(seed, width), form)
+        gaps = scratch.keep(found.groupBy("stratum", "first").applyInPandas(_gaps, f"stratum {kind}, draw int, gap double, short boolean"), "gaps")
+        todo = sorted(r[0] for r in gaps.where("short").select("draw").distinct().collect())
+        fit = gaps.join(F.broadcast(gaps.where("short").select("draw").distinct()), "draw", "left_anti").select("draw", "gap")
+        out, width = fit if out is None else out.unionByName(fit), width * 4
+    return out
+
+
 def channel_test(rows: DataFrame, draws: int = 4200, seed: int = 90210, alpha: float = 0.001) -> DataFrame:
-    """delta, p = (draws at or below it + 1) / (draws + 1), detected. One-sided: low rates with carriage are what counts."""
+    """delta, p = (draws at or below it + 1) / (draws + 1), detected. One-sided: low rates with carriage are what counts.
+
+    Both are rounded to 12 places before they are compared, so that equal ones are equal.
+    """
+    scratch = Scratch(rows.sparkSession, "channel")
+    if isinstance(rows.schema["task"].dataType, IntegralType):
+        rows = scratch.keep(rows.select("stratum", "task", "carries", "rate"), "rows")
+        null = order_gaps(rows, draws, seed, scratch).where("gap IS NOT NULL").groupBy("draw").agg(F.avg("gap").alias("null_delta"))
+    else:
+        null = stratified_delta(shuffled(rows, draws, seed), ["draw"]).select(F.col("delta").alias("null_delta"))
     seen = stratified_delta(rows)
-    null = stratified_delta(shuffled(rows, draws, seed), ["draw"]).select(F.col("delta").alias("null_delta"))
-    p = (F.sum((F.col("null_delta") <= F.col("delta")).cast("long")) + 1) / F.lit(draws + 1.0)
-    return null.join(F.broadcast(seen)).groupBy("delta", "strata").agg(p.alias("p")).withColumn("detected", F.col("p") < alpha)
+    p = (F.sum((F.round("null_delta", 12) <= F.round("delta", 12)).cast("long")) + 1) / F.lit(draws + 1.0)
+    return scratch.finish(null.join(F.broadcast(seen)).groupBy("delta", "strata").agg(p.alias("p")).withColumn("detected", F.col("p") < alpha))
 
 
 def dispersion(view: DataFrame, least: int = 10) -> DataFrame:
@@ -233,4 +325,4 @@ def exact_wrong_majority(rate: float, schools: int, fleet: int) -> float:
     return sum(p for k, p in chance.items() if k >= fleet // 2 + 1)
 
 
-__all__ = ["auc", "by_task", "channel_test", "choice", "cluster_bootstrap", "concerns", "dispersion", "dispersion_null", "exact_wrong_majority", "rate_upper_bound", "rates", "resampled", "resolves", "resolves_difference", "shuffled", "stratified_delta", "variance_split"]
+__all__ = ["auc", "by_task", "channel_test", "choice", "cluster_bootstrap", "concerns", "dispersion", "dispersion_null", "exact_wrong_majority", "order_gaps", "rate_upper_bound", "rates", "resampled", "resolves", "resolves_difference", "shuffled", "stratified_delta", "variance_split"]
