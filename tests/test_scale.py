@@ -174,3 +174,10 @@ def test_orders_of_draws_are_not_shuffled(spark, monkeypatch):
         assert [(r[0], r[2]) for r in sorted(got)] == [(r[0], r[2]) for r in sorted(want)]
         assert np.allclose([r[1] for r in sorted(got)], [r[1] for r in sorted(want)], rtol=0, atol=1e-12)
     assert S.channel_test(view, 60).columns == ["delta", "strata", "p", "detected"]
+
+
+def test_blocks_of_analysts_grow_with_their_number(spark):
+    fleet = spark.range(6000).select(F.col("id").alias("analyst"), (F.col("id") % 4).cast("int").alias("sens"), F.lit(3).alias("mask"))
+    blocks = K._packed(fleet, "analyst", K.PEOPLE, K.CROWD).select(F.size("analyst_analyst")).collect()
+    assert len(blocks) == 16 and sum(r[0] for r in blocks) == 6000  # 94 blocks of 64 sent each block of tasks 94 times
+    assert K._packed(fleet.limit(640), "analyst", K.PEOPLE, K.CROWD).count() > 8
