@@ -181,3 +181,19 @@ def test_blocks_of_analysts_grow_with_their_number(spark):
     blocks = K._packed(fleet, "analyst", K.PEOPLE, K.CROWD).select(F.size("analyst_analyst")).collect()
     assert len(blocks) == 16 and sum(r[0] for r in blocks) == 6000  # 94 blocks of 64 sent each block of tasks 94 times
     assert K._packed(fleet.limit(640), "analyst", K.PEOPLE, K.CROWD).count() > 8
+
+
+def test_study_merges_no_posteriors(spark, monkeypatch):
+    rows = [(f, d, t, w, (t % 2 == 0) != ((w < f) or (t * 7 + w * 5 + d) % 6 == 0)) for f in (1, 3) for d in (0, 1) for t in range(60) for w in range(5)] + [(None, 0, 1, 1, True), (1, 0, 5, 3, None), (1, 0, 5, 3, True)]
+    votes = spark.createDataFrame(rows, "n_wrong int, draw int, task bigint, who int, verdict boolean")
+    truth = spark.createDataFrame([(t, None if t % 9 == 0 else t % 2 == 0) for t in range(50)], "task bigint, truth boolean")
+    key = ["n_wrong", "draw", "start"]
+    for most in (100, 3):
+        with monkeypatch.context() as m:
+            m.setattr(R, "PAIRS", 0)
+            want = R.study(votes, truth, ["n_wrong", "draw"], 2, max_iters=most).toPandas().sort_values(key)
+        with monkeypatch.context() as m:
+            m.setattr(R, "fit", None)
+            got = R.study(votes, truth, ["n_wrong", "draw"], 2, max_iters=most).toPandas().sort_values(key)
+        assert got[[*key, "iterations", "converged"]].to_numpy().tolist() == want[[*key, "iterations", "converged"]].to_numpy().tolist() and len(want) == 24
+        assert np.allclose(got[["log_likelihood", "agreement", "shift"]], want[["log_likelihood", "agreement", "shift"]], rtol=0, atol=1e-9)
